@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleylake.llm import conversations, mixing, splitting
+from parleylake.llm import conversations, leakage, mixing, pii, splitting
 from parleylake.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,16 @@ def _turns(spark: SparkSession, d: str, carry: list[str] | None = None) -> DataF
     return conversations.reassemble(table(spark, d, "messages"), table(spark, d, "own_accounts"), carry=carry)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = pii.find_personal(table(spark, d, "messages").where("msg_table is not null and rowid is not null"), ["msg_table", "rowid"], ["text", "display_text"])
+    return found.select("msg_table", "rowid", "field", "pii_kind").distinct()
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Both texts of all messages with typed placeholders that hold collision-checked surrogates."""
+    return pii.mask_personal(table(spark, d, "messages"), ["text", "display_text"]).select("msg_table", "rowid", "ingested_at", "text_masked", "display_text_masked")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.judged(_turns(spark, d)).where("state <> 'whole'").select("msg_table")
 
@@ -31,6 +41,24 @@ def p5_threads(spark: SparkSession, d: str) -> DataFrame:
     return conversations.reply_threads(table(spark, d, "messages"), table(spark, d, "quote_refs"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked item the number of documents and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("span").alias("longest"), F.max("item_size").alias("item_size"))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents without those that leak."""
+    return leakage.without_leaks(table(spark, d, "documents"), _leaks(spark, d)).select("doc_id", "source", "text")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).select("doc_id", "source", "copy_no", "text")
 
@@ -47,7 +75,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_turns, p5_threads, p9_mix, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_masked, p5_found, p5_turns, p5_threads, p8_found, p8_report, p8_clean, p9_mix, p9_report, p10_found, p10_pieces)}
 
 _ROWS = r"""with m as (
  select msg_table, rowid, arg_min(struct_pack(msg_time := msg_time, sender := nullif(regexp_replace(sender_uin, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g'), ''), is_self := is_self, text := text, ingested_at := ingested_at), ingested_at) as s
