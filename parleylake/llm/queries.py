@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleylake.llm import conversations, leakage, mixing, pii, splitting
+from parleylake.llm import conversations, leakage, mixing, mojibake, pii, splitting
 from parleylake.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,20 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask_personal(table(spark, d, "messages"), ["text", "display_text"]).select("msg_table", "rowid", "ingested_at", "text_masked", "display_text_masked")
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    strings = mojibake.chat_strings(table(spark, d, "td_records"), table(spark, d, "tx_fields"))
+    return mojibake.repair_garbled(strings, keys=["src_table", "row_key", "text_pos"])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("src_table", "row_key", "text_pos").distinct()
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled strings with their likeliest original."""
+    return _garbled(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.judged(_turns(spark, d)).where("state <> 'whole'").select("msg_table")
 
@@ -75,7 +89,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_masked, p5_found, p5_turns, p5_threads, p8_found, p8_report, p8_clean, p9_mix, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_masked, p4_found, p4_restored, p5_found, p5_turns, p5_threads, p8_found, p8_report, p8_clean, p9_mix, p9_report, p10_found, p10_pieces)}
 
 _ROWS = r"""with m as (
  select msg_table, rowid, arg_min(struct_pack(msg_time := msg_time, sender := nullif(regexp_replace(sender_uin, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g'), ''), is_self := is_self, text := text, ingested_at := ingested_at), ingested_at) as s
