@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleylake.plans import shaping
+from parleylake.plans import chat, shaping
 
-QUERIES = {**shaping.QUERIES}
-SQL = {**shaping.SQL}
+QUERIES = {**chat.QUERIES, **shaping.QUERIES}
+SQL = {**chat.SQL, **shaping.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return shaping.p2_report(spark, d)
+    """The list of all conversations with labels and last times."""
+    return chat.conversation_list(spark, d)
