@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 from parleylake.functions.media import candidate_kind, is_media_candidate
+from parleylake.functions.names import is_blank
 from parleylake.functions.text import like_text, likely_role, matches_all, suspicious_score, trimmed
 
 
 def row_issues(messages: DataFrame) -> DataFrame:
     """The issues of each message: (msg_table, rowid, issue), one row per issue."""
-    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    blank = is_blank(F.col("text"))
     media = F.filter(F.split("text", r"[\s，。；！]+"), is_media_candidate)
     found = F.array_compact(F.array(
         F.when(blank & F.col("media_kind").isNull(), "empty_text_and_nodes"), F.when(blank & F.col("media_kind").isNotNull(), "blank_text_message"),
@@ -33,7 +35,7 @@ def issue_samples(issues: DataFrame, n: int = 64) -> DataFrame:
 
 def quality_counters(messages: DataFrame) -> DataFrame:
     """Named counters over all messages, as name and value."""
-    blank = F.coalesce(F.trim("text") == "", F.lit(True))
+    blank = is_blank(F.col("text"))
     tests = {
         "rows": F.lit(True), "blank_text": blank, "with_media": F.col("media_kind").isNotNull(), "recalled": F.coalesce("is_recalled", F.lit(False)), "text_differs": ~F.col("text").eqNullSafe(F.col("display_text")),
         "suspicious_text": suspicious_score(F.col("text")) > 0, "null_time": F.col("msg_time").isNull(), "null_seq": F.col("msg_seq").isNull(), "null_sender": F.col("sender_uin").isNull(), "self": F.coalesce("is_self", F.lit(False)),

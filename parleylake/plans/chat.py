@@ -264,10 +264,11 @@ def media_issues(spark: SparkSession, d: str) -> DataFrame:
     return audit.media_issues(table(spark, d, "asset_matches"))
 
 
+_BLANK = r"coalesce(regexp_replace(text, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g') = '', true)"
 _SUSPICIOUS = "(case when contains(text, chr(65533)) then true else len(regexp_extract_all(text, '[\\x{E000}-\\x{F8FE}\\x{1200}-\\x{137F}\\x{2C80}-\\x{2CFF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) >= 2 and len(regexp_extract_all(text, '[\\x{E000}-\\x{F8FE}\\x{1200}-\\x{137F}\\x{2C80}-\\x{2CFF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) * 100 // nullif(length(text), 0) > 12 end)"
 _PIECE = f"(not regexp_matches(trim(x), '^\\{{|^com\\.|[“”]|文件|成功|取消') and trim(x) <> '' and (regexp_matches(trim(x), '^(UserDataImage|UserDataCustomFace|UserDataRoot|UserDataFileRecv|OSRoot|sysres):') or regexp_matches(trim(x), '(?i)^https?://[^?#]*\\.({_EXT})([?#].*)?$') or (regexp_matches(trim(x), '[\\\\/]|^[\\x20-\\x7e]*$') and regexp_matches(trim(x), '(?i)\\.({_EXT})$'))))"
 _ISSUES = f"""i as (select msg_table, rowid, unnest(list_filter([
- case when coalesce(trim(text) = '', true) and media_kind is null then 'empty_text_and_nodes' end, case when coalesce(trim(text) = '', true) and media_kind is not null then 'blank_text_message' end, case when {_SUSPICIOUS} then 'suspicious_text' end,
+ case when {_BLANK} and media_kind is null then 'empty_text_and_nodes' end, case when {_BLANK} and media_kind is not null then 'blank_text_message' end, case when {_SUSPICIOUS} then 'suspicious_text' end,
  case when msg_time is null or msg_time < 946684800 then 'implausible_time' end, case when coalesce(trim(sender_uin) = '', true) then 'no_sender' end, case when is_recalled then 'recalled' end,
  case when media_kind is null and len(list_filter(regexp_split_to_array(text, '[\\s，。；！]+'), lambda x: {_PIECE})) > 0 then 'unrendered_media_candidate' end], lambda y: y is not null)) as issue from messages)"""
 
@@ -282,7 +283,7 @@ def issue_samples(spark: SparkSession, d: str) -> DataFrame:
     return audit.issue_samples(audit.row_issues(table(spark, d, "messages")))
 
 
-@query(f"""select unnest(['rows', 'blank_text', 'with_media', 'recalled', 'text_differs', 'suspicious_text', 'null_time', 'null_seq', 'null_sender', 'self']) as counter, unnest([count(*), count_if(coalesce(trim(text) = '', true)), count_if(media_kind is not null), count_if(coalesce(is_recalled, false)), count_if(text is distinct from display_text),
+@query(f"""select unnest(['rows', 'blank_text', 'with_media', 'recalled', 'text_differs', 'suspicious_text', 'null_time', 'null_seq', 'null_sender', 'self']) as counter, unnest([count(*), count_if({_BLANK}), count_if(media_kind is not null), count_if(coalesce(is_recalled, false)), count_if(text is distinct from display_text),
  count_if({_SUSPICIOUS}), count_if(msg_time is null), count_if(msg_seq is null), count_if(sender_uin is null), count_if(coalesce(is_self, false))]) as value from messages""")
 def quality_counters(spark: SparkSession, d: str) -> DataFrame:
     return audit.quality_counters(table(spark, d, "messages"))

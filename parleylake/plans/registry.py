@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleylake.plans import chat, shaping
+from parleylake.plans import chat, decoding, shaping
 
-QUERIES = {**chat.QUERIES, **shaping.QUERIES}
-SQL = {**chat.SQL, **shaping.SQL}
+QUERIES = {**chat.QUERIES, **decoding.QUERIES, **shaping.QUERIES}
+SQL = {**chat.SQL, **decoding.SQL, **shaping.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
