@@ -37,13 +37,17 @@ def resolve_pointers(nodes: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     ends = done[0]
     count = open_.count()
     reach, rounds = 1, 0
-    while count and reach <= 2 * count and rounds < max_rounds:
+    while count and rounds < max_rounds:
+        # after this round all paths shorter than 2 * reach are resolved, and no open path is longer than reach + count
+        last = reach >= count
         known = ends.unionByName(open_).select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("state").alias("next_state"))
         jumped = materialise(open_.select("id", "at", "depth").join(known, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("next_state").alias("state")), "pointers")
         done.append(jumped.where("state is not null"))
         ends = ends.unionByName(done[-1])
         open_ = jumped.where("state is null")
         count, reach, rounds = open_.count(), reach * 2, rounds + 1
+        if last:
+            break
     out = ends.select("id", F.col("at").alias("root"), "depth", "state")
     lost = open_.select("id", F.lit(None).cast(out.schema["root"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cycle").alias("state"))
     return out.unionByName(lost)
