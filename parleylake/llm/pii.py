@@ -40,6 +40,7 @@ NAME_ZH = [
     re.compile(rf"(?<![{HAN}A-Za-z\d])(?P<n>{_N})(?=[ 　](?:\0|\*\*\*|●|\[已))"),
     re.compile(rf"(?:^|(?<=[\n\[【@·(（])|(?<=· )|(?<=— ))(?P<n>{_N})(?=[ 　]?(?:$|\n|\]|】|\)|）))"),
     re.compile(rf"(?<=@)(?P<n>{_N})(?=\s)"),
+    re.compile(rf"(?<![{HAN}A-Za-z\d])(?P<n>{_N})(?=[ 　]?(?:今天?请?|的(?:邮|电|手|地)?|收)?(?:…|\.\.\.)$)"),  # a cue that was cut off
 ]
 _W = r"[A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*"
 _U = r"[A-Z]{2,}(?:['’-][A-Z]{2,})*"

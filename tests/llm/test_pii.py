@@ -45,7 +45,7 @@ def test_no_addresses(text):
     assert kinds(text) == []
 
 
-@pytest.mark.parametrize("text,name", [("收件人 林望舒，好", "林望舒"), ("联系欧阳南乔就行", "欧阳南乔"), ("何 翊今天请假", "何 翊"), ("找程子衿拿车票", "程子衿"), ("ask Greta R. Varga-Holt about it", "Greta R. Varga-Holt"), ("signed by LIN RUOXI", "LIN RUOXI"), ("Whitlocke, Joren / x", "Whitlocke, Joren")])
+@pytest.mark.parametrize("text,name", [("收件人 林望舒，好", "林望舒"), ("联系欧阳南乔就行", "欧阳南乔"), ("何 翊今天请假", "何 翊"), ("找程子衿拿车票", "程子衿"), ("ask Greta R. Varga-Holt about it", "Greta R. Varga-Holt"), ("signed by LIN RUOXI", "LIN RUOXI"), ("Whitlocke, Joren / x", "Whitlocke, Joren"), ("好\n任珩今…", "任珩")])
 def test_person_names(text, name):
     assert kinds(text) == [("person_name", name)]
 
