@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleylake.decode import message, proto, record, stores
+from parleylake.decode import labels, message, proto, record, stores
 
 
 def flat_map(df: DataFrame, keys: list[str], data: str, schema: str, decode: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
@@ -58,6 +58,70 @@ def message_elements(df: DataFrame, keys: list[str], data: str) -> DataFrame:
     return flat_map(df, keys, data, "pos int, offset int, size int, type int, label string, texts array<string>, media array<string>, kind string, records int", one)
 
 
+def displayed(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """What each message shows, its bubble styles, and how many elements are rendered, ignored and unclassified."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        es = message.elements(raw)
+        states = labels.status(es)
+        yield _safe(labels.display(raw)), labels.style_ids(es), *[states.count(x) for x in ("rendered", "ignored", "unclassified")]
+
+    return flat_map(df, keys, data, "display_text string, styles array<long>, rendered int, ignored int, unclassified int", one)
+
+
+def quotes(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """The quotes in each message: pos, seq, sender, quote_time, quote_text."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for i, q in enumerate(x for x in map(message.quote_of, message.elements(raw)) if x):
+            yield i, q["seq"], q["sender"], q["time"], _safe(q["text"])
+
+    return flat_map(df, keys, data, "pos int, seq long, sender long, quote_time long, quote_text string", one)
+
+
+def record_issues(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """partial_txdata for records that end too early, decode_error for rows that could not be read, counted per key."""
+    issue = F.when(F.col("error").isNotNull(), "decode_error").when(~F.col("complete"), "partial_txdata")
+    return fields.select(*keys, "record", issue.alias("issue")).where("issue is not null").distinct().groupBy(*keys, "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_paths(fields: DataFrame, keys: list[str]) -> DataFrame:
+    """The paths that records of an index file hold, each once per key: (keys, path)."""
+    from parleylake.functions.media import is_media_candidate
+
+    return fields.select(*keys, F.explode("texts").alias("path")).where(is_media_candidate(F.col("path"))).distinct()
+
+
+def info_fields(df: DataFrame, keys: list[str], info: str) -> DataFrame:
+    """One row per field of a message's info: record, pos, name, number (of any 4 or 8 bytes), texts."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for r, i, name, number, texts in message.info_values(raw):
+            yield r, i, _safe(name), None if number is None else str(number), [_safe(t) for t in texts]
+
+    return flat_map(df, keys, info, "record int, pos int, name string, number string, texts array<string>", one)
+
+
+def context_tags(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """One row per entry of a tagged context: offset, tag, size, fields."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for t in proto.tagged(raw):
+            yield t.offset, t.tag, len(t.data), len(t.fields)
+
+    return flat_map(df, keys, data, "offset int, tag int, size int, fields int", one)
+
+
+def text_runs(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """One row per run of readable UTF-16 text: offset, text."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for o, t in message.runs_of_text(raw):
+            yield o, _safe(t)
+
+    return flat_map(df, keys, data, "offset int, text string", one)
+
+
 def rendered(df: DataFrame, keys: list[str], data: str) -> DataFrame:
     """Plain text, nodes (JSON) and HTML of each message."""
 

@@ -93,3 +93,14 @@ def link_report(links: DataFrame, files: DataFrame) -> DataFrame:
     j = links.join(listed(files).select("path_key", F.lit(True).alias("here")).distinct(), "path_key", "left")
     local = F.col("kind") == "local"
     return j.agg(F.count(F.lit(1)).alias("total"), F.count_if(local).alias("local"), F.count_if(local & F.col("here").isNotNull()).alias("alive"), F.count_if(local & F.col("here").isNull()).alias("dead"), F.count_if(F.col("kind") == "external").alias("external"), F.count_if(F.col("kind") == "anchor").alias("anchor"))
+
+
+def head_candidates(members: DataFrame, root: str) -> DataFrame:
+    """Where the picture of a member may lie, likeliest first: (group_id, uin, candidates).
+
+    Numbered faces have a large picture in several formats; null numbers have none.
+    """
+    # Folder and endings of numbered face pictures
+    names = [f".large.{e}" for e in ("png", "jpg", "jpeg", "webp")] + [".large"]
+    made = F.array(*[F.concat(F.lit(f"{root}/VasscUpdate/VasHead/face."), F.col("faceshop_face_id").cast("string"), F.lit(n)) for n in names])
+    return members.where("group_id is not null and uin is not null").groupBy("group_id", "uin").agg(F.max(F.struct("read_at", "faceshop_face_id")).getField("faceshop_face_id").alias("faceshop_face_id")).select("group_id", "uin", F.when(F.col("faceshop_face_id").isNotNull(), made).otherwise(F.array().cast("array<string>")).alias("candidates"))

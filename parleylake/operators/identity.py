@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import SYSTEM_SENDERS, first_nonempty, sender_show_name, with_mail_of
@@ -69,3 +69,16 @@ def quote_targets(quotes: DataFrame, messages: DataFrame) -> DataFrame:
     found = q.join(m, ["msg_table", "quote_time"]).where("target <> msg_rowid").select("quote_id", F.struct((F.col("who").isNull() | F.col("sender_uin").isNull() | (F.col("who") != F.col("sender_uin"))).alias("other"), F.abs(F.col("target") - F.col("msg_rowid")).alias("far"), F.col("target")).alias("s"))
     best = found.groupBy("quote_id").agg(F.min("s").alias("s"))
     return best.select("quote_id", F.col("s.target").alias("target_rowid"), (~F.col("s.other")).alias("by_sender"))
+
+
+def quotes_in_order(nodes: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The k-th quote node of a message with its k-th quote: (msg_table, msg_rowid, k, node_path, quote_id).
+
+    Nodes come in the order of their paths, by number where a step is one, quotes in the order of their ids. Nodes need
+    msg_table, msg_rowid, node_path and members; what has no counterpart is left out. A message has few of either.
+    """
+    steps = F.transform(F.split("node_path", "/"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 9, "0")).otherwise(x))
+    by = Window.partitionBy("msg_table", "msg_rowid")
+    n = nodes.where(F.try_element_at("members", F.lit("type")) == "quote").select("msg_table", "msg_rowid", "node_path", steps.alias("o")).dropDuplicates(["msg_table", "msg_rowid", "node_path"]).withColumn("k", F.row_number().over(by.orderBy("o"))).drop("o")
+    q = quotes.select("msg_table", "msg_rowid", "quote_id").distinct().withColumn("k", F.row_number().over(by.orderBy("quote_id")))
+    return n.join(q, ["msg_table", "msg_rowid", "k"])

@@ -129,3 +129,13 @@ def chat_nodes(matches: DataFrame, messages: DataFrame) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+
+
+def attached(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """Forwarded items hung below the first multi_msg node of their owner: (owner_key, node_path, item).
+
+    The first node is the one a walk from the front meets first; owners without such a node keep no items.
+    """
+    steps = F.transform(F.split("node_path", "/"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 9, "0")).otherwise(x))
+    first = nodes.where(F.try_element_at("members", F.lit("type")) == "multi_msg").groupBy("owner_key").agg(F.min(F.struct(steps.alias("o"), "node_path")).getField("node_path").alias("node_path"))
+    return items.select("owner_key", "item").join(first, "owner_key").select("owner_key", "node_path", "item")

@@ -381,3 +381,31 @@ def message_times(spark: SparkSession, d: str) -> DataFrame:
 @query("select record_id, regexp_replace(lower(hex(encode(decoded_texts[1]))), '(..)', '\\1 ', 'g') as hex0 from td_records where len(decoded_texts) > 0")
 def spaced_hex(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "td_records").where(F.size("decoded_texts") > 0).select("record_id", F.concat(text.spaced_hex(F.encode(F.element_at("decoded_texts", 1), "UTF-8")), F.when(F.length(F.element_at("decoded_texts", 1)) > 0, " ").otherwise("")).alias("hex0"))
+
+
+@query("select group_id, uin, case when f is null then '' else array_to_string(list_transform(['.large.png', '.large.jpg', '.large.jpeg', '.large.webp', '.large'], lambda x: 'acc/VasscUpdate/VasHead/face.' || f || x), '|') end as candidates from (select group_id, uin, last(faceshop_face_id order by read_at nulls first, faceshop_face_id nulls first) as f from member_profiles where group_id is not null and uin is not null group by 1, 2)")
+def head_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return assets.head_candidates(table(spark, d, "member_profiles"), "acc").withColumn("candidates", F.array_join("candidates", "|"))
+
+
+@query()
+def quote_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Quote nodes of asset matches with the quotes of the same message, by position."""
+    m = table(spark, d, "asset_matches").select(F.col("match_id").cast("string").alias("owner_key"), "msg_table", "msg_rowid").distinct()
+    nodes = nested.flatten_nested(table(spark, d, "asset_matches"), "match_id", "rich_nodes").join(m, "owner_key")
+    return identity.quotes_in_order(nodes, table(spark, d, "quote_refs"))
+
+
+@query("select asset_id, case when is_deleted then 'deleted' when size_bytes is null then 'unsized' when size_bytes > 104857600 then 'large' else 'kept' end as status from asset_files")
+def file_status(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("size_bytes")
+    return table(spark, d, "asset_files").select("asset_id", F.when(F.col("is_deleted"), "deleted").when(size.isNull(), "unsized").when(size > 100 * 2**20, "large").otherwise("kept").alias("status"))
+
+
+@query("select count(*) as total, count_if(kind = 'local') as local, count_if(kind = 'local' and here) as alive, count_if(kind = 'local' and not here) as dead, count_if(kind = 'external') as external, count_if(kind = 'anchor') as anchor from (select case when starts_with(trim(link), '#') or trim(link) = '' then 'anchor' when regexp_matches(link, '(?i)^(https?:|mailto:|javascript:|data:|tel:|ftp:|about:|//)') then 'external' else 'local' end as kind, " + _KEY.format("link") + " in (select " + _KEY.format("path") + " from asset_files where not coalesce(is_deleted, false)) as here from (select unnest(candidate_paths) as link from asset_matches) where link is not null)")
+def link_report(spark: SparkSession, d: str) -> DataFrame:
+    """The references of asset matches as links: how many are local, and how many of these lead to a present file."""
+    from parleylake.functions.names import path_key
+
+    links = table(spark, d, "asset_matches").select(F.explode("candidate_paths").alias("link")).where("link is not null")
+    return assets.link_report(links.select("link", urls.link_class(F.col("link")).alias("kind"), path_key(F.col("link")).alias("path_key")), table(spark, d, "asset_files"))

@@ -52,6 +52,31 @@ def message_render(spark: SparkSession, d: str) -> DataFrame:
     return tables.rendered(_made(spark, d), ["text"], "content")
 
 
+@query()
+def message_display(spark: SparkSession, d: str) -> DataFrame:
+    return tables.displayed(_made(spark, d), ["text"], "content").withColumn("styles", F.array_join(F.col("styles").cast("array<string>"), ","))
+
+
+@query()
+def context_tags(spark: SparkSession, d: str) -> DataFrame:
+    return tables.context_tags(_payloads(spark, d), ["sample_id"], "content")
+
+
+@query()
+def text_runs(spark: SparkSession, d: str) -> DataFrame:
+    return tables.text_runs(_payloads(spark, d), ["sample_id"], "content")
+
+
+@query()
+def record_issues(spark: SparkSession, d: str) -> DataFrame:
+    return tables.record_issues(tables.record_fields(_payloads(spark, d), ["sample_id"], "content"), ["sample_id"])
+
+
+@query()
+def info_fields(spark: SparkSession, d: str) -> DataFrame:
+    return tables.info_fields(_made(spark, d), ["text"], "content").withColumn("texts", F.array_join("texts", "|"))
+
+
 @query()
 def kv_decode(spark: SparkSession, d: str) -> DataFrame:
     return tables.record_fields(_made(spark, d), ["text"], "content")

@@ -217,3 +217,22 @@ def test_as_tables(spark):
         raise ValueError("no")
 
     assert [r.error for r in tables.flat_map(df, ["id"], "content", "x int", fails).collect()] == ["ValueError: no"] * 2
+
+
+def test_labels_and_folding():
+    from parleylake.decode import labels
+
+    assert labels.face_label(0) == "[微笑]" and labels.face_label(104) == "[右太极]" and labels.face_label(212) == "[/qw]" and labels.face_label(150) == "[face:150]"
+    face = element(2, (1, bytes([14])))
+    inner = bytes([8, 99, 16, 7, 24, 5, 34, 6]) + b"quoted"
+    wire = bytes([0xEA, 0x02, len(inner)]) + inner
+    quote = element(0x19, (1, wire))
+    es = message.elements(HEADER + text_element("@x") + text_element(" ") + quote + text_element("@y") + text_element(" ") + text_element("@y") + face + text_element("done"))
+    assert message.quote_of(es[2]) == {"seq": 99, "sender": 7, "time": 5, "text": "quoted"}
+    assert labels.folded(es) == {0, 1, 3, 4}
+    assert labels.with_suffixes(es, labels.folded(es))[-2:] == [f"@y{labels.face_text(es[6])}", "done"]
+    call = td((3, "wAvMsgType", b"\x01\x00"), (8, "bsMsgText", keyed("通话 01:10")))
+    assert labels.display(HEADER + call) == "通话 01:10"
+    index = td(*[(8, n, keyed("x")) for n in ("bStructMsgVersion", "arrMMTMsgIndex", "arrPackets")])
+    assert labels.display(HEADER + index) == labels.SHOWN["index"] or labels.unshown_label(message.elements(HEADER + index)) == labels.SHOWN["index"]
+    assert labels.status(message.elements(HEADER + text_element("a") + element(0x0E))) == ["rendered", "ignored"]
