@@ -84,7 +84,7 @@ _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2D,
 _KEEP = {c: c for c in map(ord, "，。；：！？（）")}
 _FOLD = {k: v for k, v in _WIDE.items() if k not in _KEEP} | {ord("（"): ord("("), ord("）"): ord(")")}
 #: A text without any of these holds nothing to find.
-WORTH = re.compile(r"[\d０-９@＠]|[A-Z][\w'’.]*,? [A-Z]|(?:at|AT)[ )\]]|幺|号|收|联系|找|经办|报名|抬头|姓名|我叫|请假|的邮|的电|的手|的地|^[^\s]{2,6}$|[\[\n·]")
+WORTH = re.compile(r"[\d０-９@＠]|[A-Z][\w'’.]*,? [A-Z]|(?:at|AT)[ )\]]|幺|号|收|联系|找|经办|报名|抬头|姓名|我叫|请假|的邮|的电|的手|的地|^[^\s]{2,6}$|[\[\n·]|(?:…|\.\.\.)$")
 
 
 class Finding(NamedTuple):
