@@ -7,6 +7,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -209,23 +210,49 @@ class Surrogates:
     def _number(self, kind: str, entity: str) -> int:
         return int.from_bytes(hmac.new(self.key, f"{self.tweak}|{kind}|{entity}".encode(), hashlib.sha256).digest()[:16], "big")
 
+    def permuted(self, kind: str, x: int, n: int) -> int:
+        """A keyed permutation of 0..n-1: different numbers stay different, however many there are."""
+        a = isqrt(n - 1) + 1
+        b = -(-n // a)
+        while True:
+            left, right = divmod(x, b)
+            for i in range(4):
+                left = (left + self._number(f"{kind}/{n}/{i}/l", str(right))) % a
+                right = (right + self._number(f"{kind}/{n}/{i}/r", str(left))) % b
+            x = left * b + right
+            if x < n:
+                return x
+
+    def _digits(self, kind: str, digits: str) -> str:
+        return f"{self.permuted(kind, int(digits), 10 ** len(digits)):0{len(digits)}d}" if digits else ""
+
     def of(self, kind: str, entity: str, gender: str = "") -> str:
-        """The replacement of an entity, in its canonical form."""
+        """The replacement of an entity, in its canonical form.
+
+        Numbers are permuted within their format, so they never collide: telephones keep their first three digits,
+        resident numbers province and parity (gender) and stay valid, other numbers their letters.
+        """
+        if kind == "phone" and entity.isdigit():
+            keep = 3 if len(entity) > 6 else 0
+            return entity[:keep] + self._digits(f"phone{entity[:keep]}", entity[keep:])
+        if kind == "id_number":
+            if valid_id18(entity):
+                first_day, days = dt.date(1900, 1, 1), 73_049
+                day = (dt.date(int(entity[6:10]), int(entity[10:12]), int(entity[12:14])) - first_day).days
+                if 0 <= day < days:
+                    seq, odd = divmod(int(entity[14:17]), 2)
+                    x = self.permuted(f"id{entity[:2]}{odd}", (int(entity[2:6]) * days + day) * 500 + seq, 10_000 * days * 500)
+                    x, seq = divmod(x, 500)
+                    region, day = divmod(x, days)
+                    born = first_day + dt.timedelta(days=day)
+                    first = f"{entity[:2]}{region:04d}{born:%Y%m%d}{seq * 2 + odd:03d}"
+                    return first + check_digit(first)
+            return re.sub(r"\d+", lambda m: self._digits("id", m.group()), entity)
         n = self._number(kind, entity)
         tag = n % 10**self.width
         n //= 10**self.width
         if kind == "email":
             return f"user{tag:0{self.width}d}{'abcdefghjkmnpqrstuvwxyz'[n % 23]}@mail{n // 23 % 90 + 10}.invalid"
-        if kind == "phone":
-            return "".join(str(n // 10**i % 10) for i in range(max(0, len(entity) - 3)))[::-1].rjust(len(entity), "0") if len(entity) < 4 else entity[:3] + "".join(str(n // 10**i % 10) for i in range(len(entity) - 3))
-        if kind == "id_number":
-            if re.fullmatch(r"\d{17}[\dX]", entity):
-                day = dt.date(1950, 1, 1) + dt.timedelta(days=n % 25_000)
-                seq = n // 25_000 % 500 * 2 + int(entity[16]) % 2
-                first = f"{entity[:2]}{n // 12_500_000 % 10_000:04d}{day:%Y%m%d}{seq:03d}"
-                return first + check_digit(first)
-            head = re.match("[A-Z]*", entity).group()
-            return head + "".join(str(n // 10**i % 10) for i in range(len(entity) - len(head)))
         if kind == "address":
             if re.search(f"[{HAN}]", entity):
                 return f"{STREETS_ZH[n % 8]}{tag}号"
@@ -306,18 +333,16 @@ def find_personal(df: DataFrame, keys: list[str], fields: list[str]) -> DataFram
 
 
 def collision_free(entities: DataFrame, key: bytes, *, rounds: int = 8) -> Surrogates:
-    """Surrogates that keep all entities (pii_kind, entity) apart and are none of the entities themselves.
+    """Surrogates that keep all entities (pii_kind, entity) apart.
 
-    Each round replaces all distinct entities and counts those that share a replacement, or whose replacement is an
-    entity; if there are any, the next round draws anew with a longer number. Only the counts reach the driver.
+    Each round replaces all distinct entities and looks for replacements that two of them share; if there are any, the
+    next round draws anew with a longer distinguishing number. Only whether there are any reaches the driver.
     """
     known = entities.select("pii_kind", "entity").distinct()
     for n in range(rounds):
         s = Surrogates(key, n, 4 + n)
         made = known.withColumn("surrogate", F.udf(lambda k, e, s=s: canonical(k, s.of(k, e)), "string", useArrow=True)("pii_kind", "entity"))
-        shared = made.groupBy("pii_kind", "surrogate").count().where("count > 1")
-        real = made.select("pii_kind", F.col("surrogate").alias("entity")).join(known, ["pii_kind", "entity"], "left_semi")
-        if shared.isEmpty() and real.isEmpty():
+        if made.groupBy("pii_kind", "surrogate").count().where("count > 1").isEmpty():
             return s
     raise ValueError("no collision-free surrogates were found; give another key or more rounds")
 

@@ -87,4 +87,13 @@ def test_collision_check(spark):
     made = {s.of("person_name", f"given{i} family") for i in range(3000)}
     assert len(made) == 3000
     with pytest.raises(ValueError):
-        pii.collision_free(spark.range(3000).selectExpr("'phone' as pii_kind", "lpad(id, 4, '1380') as entity"), b"key", rounds=1)
+        pii.collision_free(e, b"key", rounds=0)
+
+
+def test_numbers_never_collide():
+    s = pii.Surrogates(b"k")
+    assert {s.permuted("x", i, 777) for i in range(777)} == set(range(777))
+    assert len({s.of("phone", f"138{i:04d}") for i in range(10_000)}) == 10_000
+    ids = [p + pii.check_digit(p) for p in (f"11010519491231{i:03d}" for i in range(1000))]
+    made = [s.of("id_number", i) for i in ids]
+    assert len(set(made)) == 1000 and all(pii.valid_id18(m) and int(m[16]) % 2 == int(i[16]) % 2 for i, m in zip(ids, made))
