@@ -102,3 +102,12 @@ def relative_parts(path: Column) -> Column:
 def portable_path(path: Column) -> Column:
     """A Windows path as the Linux subsystem mounts it."""
     return F.when(path.rlike(r"^[A-Za-z]:[\\/]"), F.concat(F.lit("/mnt/"), F.lower(F.substring(path, 1, 1)), F.lit("/"), F.replace(F.substring(path, F.lit(4), F.length(path)), F.lit("\\"), F.lit("/")))).otherwise(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def path_has_any(path: Column, parts: list[str]) -> Column:
+    """Whether a path contains any of the parts, letter case and kind of separator aside; no parts let all pass."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    found = F.lit(not parts)
+    for x in parts:
+        found = found | F.contains(p, F.lit(x.lower().replace("\\", "/")))
+    return F.coalesce(found, F.lit(not parts))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parleylake.functions import media, text, urls
-from parleylake.operators import assets, audit, conversations, identity, nested, paging, sampling
+from parleylake.operators import assets, audit, conversations, identity, items, nested, paging, sampling
 from parleylake.runtime import table
 
 #: Parameters of the queries: the own account, a page's table and the time that counts as now.
@@ -289,9 +289,10 @@ def quality_counters(spark: SparkSession, d: str) -> DataFrame:
     return audit.quality_counters(table(spark, d, "messages"))
 
 
-@query()
+@query("""with recursive u as (select cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches where json_valid(rich_nodes) group by 1, 2 union all select owner_key, json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$')))
+ select json_extract_string(json_tree.value, '$.type') as node_type, count(*) as nodes, count(distinct owner_key) as owners from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY') and json_tree.type = 'OBJECT' and json_extract_string(json_tree.value, '$.type') is not null group by 1""")
 def media_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return audit.node_histogram(nested.flatten_nested(table(spark, d, "asset_matches").distinct(), "match_id", "rich_nodes"))
+    return audit.node_histogram(nested.flatten_nested(table(spark, d, "asset_matches").select("match_id", "rich_nodes").distinct(), "match_id", "rich_nodes"))
 
 
 @query("""with e as (select msg_table, td_offset as s, td_offset + td_len as e from td_records where td_offset >= 0 and td_len > 0),
@@ -409,3 +410,30 @@ def link_report(spark: SparkSession, d: str) -> DataFrame:
 
     links = table(spark, d, "asset_matches").select(F.explode("candidate_paths").alias("link")).where("link is not null")
     return assets.link_report(links.select("link", urls.link_class(F.col("link")).alias("kind"), path_key(F.col("link")).alias("path_key")), table(spark, d, "asset_files"))
+
+
+_TARGETS = SQL["quote_nearest"]
+_HITS = SQL["asset_first_hit"]
+_STAND_IN = "case media_kind " + " ".join(f"when '{k}' then '{v}'" for k, v in items.STAND_INS.items()) + " else '' end"
+
+
+@query(
+    _ID.rstrip()
+    + f""", tg as ({_TARGETS}), ht as ({_HITS}),
+ qq as (select msg_table, msg_rowid as rowid, count(*) as quotes, min(target_rowid) as first_quoted_rowid from (select distinct quote_id, msg_table, msg_rowid from quote_refs) left join tg using (quote_id) group by 1, 2),
+ aa as (select msg_table, msg_rowid as rowid, count(*) as assets, count(path) as assets_found, min(path) as asset_path from (select distinct match_id, msg_table, msg_rowid from asset_matches) left join ht using (match_id) group by 1, 2),
+ ids as (select msg_table, rowid, ingested_at, display_sender, case when display_sender = '' or is_own or system_label <> '' then display_sender else display_sender || '(' || sender || ')' end as sender_line,
+  case when is_own then 'self' when system_label <> '' then 'system' when member <> '' then 'group_member' when name_in_message <> '' then 'message_info' else 'uin' end as sender_source,
+  case when conv_type = 'group' and not is_own and system_label = '' then case when member <> '' then case when title = '' then '群成员库' else '群成员库 · 头衔: ' || title end when name_in_message <> '' then '消息Info名称' else '群成员昵称未命中' end else '' end as sender_note from z)
+ select m.msg_table, m.rowid, m.ingested_at, m.conv_type || ':' || m.conv_id as conv_key, m.msg_seq, case when coalesce(m.msg_time >= 946684800, false) then case when m.msg_time <= 253402300799 then strftime(make_timestamp(m.msg_time * 1000000), '%Y-%m-%d %H:%M:%S') else '' end else '' end as shown_time,
+  coalesce(m.msg_time >= 946684800, false) as time_plausible, coalesce(m.is_self, false) as is_self, display_sender, sender_line, sender_source, sender_note, case when not {_BLANK} then text else {_STAND_IN} end as plain_text, media_kind, coalesce(is_recalled, false) as is_recalled,
+  coalesce(quotes, 0) as quotes, first_quoted_rowid, coalesce(assets, 0) as assets, coalesce(assets_found, 0) as assets_found, asset_path
+ from messages m left join ids on ids.msg_table = m.msg_table and ids.rowid = m.rowid and ids.ingested_at = m.ingested_at left join qq on qq.msg_table = m.msg_table and qq.rowid = m.rowid left join aa on aa.msg_table = m.msg_table and aa.rowid = m.rowid"""
+)
+def message_items(spark: SparkSession, d: str) -> DataFrame:
+    return items.message_items(table(spark, d, "messages"), sender_identity(spark, d), table(spark, d, "quote_refs"), quote_nearest(spark, d), asset_first_hit(spark, d), table(spark, d, "asset_matches"))
+
+
+@query("select path from asset_files where contains(lower(path), 'audio') or contains(lower(path), 'image/c2c')")
+def path_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "asset_files").where(urls.path_has_any(F.col("path"), ["Audio", "Image\\C2C"])).select("path")

