@@ -54,7 +54,7 @@ NO_NAME = set(
 )
 _AT = r"(?:\s?@\s?|\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s)"
-EMAIL = re.compile(rf"(?<![\w.+\-])(?P<l>[A-Za-z0-9][A-Za-z0-9._%+\-]*){_AT}(?P<d>[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)*{_DOT}[A-Za-z]{{2,24}})(?![A-Za-z0-9])", re.ASCII)
+EMAIL = re.compile(rf"(?<![\w.+\-])(?P<l>[A-Za-z0-9][A-Za-z0-9._%+\-]*){_AT}(?P<d>[A-Za-z0-9][A-Za-z0-9\-]*(?:{_DOT}[A-Za-z0-9][A-Za-z0-9\-]*)*{_DOT}[A-Za-z]{{2,24}})(?![A-Za-z0-9]|\s?@)", re.ASCII)
 # File endings, which make the part behind an @ no mail domain.
 FILES = set("png jpg jpeg gif bmp webp pdf doc docx xls xlsx ppt pptx txt zip rar csv log db mp3 mp4 amr avi psd slk exe html htm json xml tmp".split())
 ID18 = re.compile(r"(?<![\dA-Za-z])[1-9]\d{5}[ \-\n]?(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[ \-\n]?\d{3}[\dXx](?![\dA-Za-z])", re.ASCII)
@@ -85,7 +85,7 @@ _WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x2010: 0x2D,
 _KEEP = {c: c for c in map(ord, "，。；：！？（）")}
 _FOLD = {k: v for k, v in _WIDE.items() if k not in _KEEP} | {ord("（"): ord("("), ord("）"): ord(")")}
 #: A text without any of these holds nothing to find.
-WORTH = re.compile(r"[\d０-９@＠]|[A-Z][\w'’.]*,? [A-Z]|(?:at|AT)[ )\]]|幺|号|收|联系|找|经办|报名|抬头|姓名|我叫|请假|的邮|的电|的手|的地|^[^\s]{2,6}$|[\[\n·]|(?:…|\.\.\.)$")
+WORTH = re.compile(r"[\d０-９@＠]|[A-Z][\w'’.]*,? [A-Z]|(?:at|AT)[ )\]]|幺|号|收|联系|找|经办|报名|抬头|姓名|我叫|请假|的邮|的电|的手|的地|^[^\s]{2,6}$|[\[\n·(（【—]|(?:…|\.\.\.)$")
 
 
 class Finding(NamedTuple):
@@ -165,9 +165,14 @@ def find(text: str | None) -> list[Finding]:
             # beside a cue only the very word is no name, elsewhere nothing that begins like it
             if not ((STOP.fullmatch(n) if i < 2 else STOP.match(n)) or TITLED.fullmatch(n)):
                 take("person_name", m.start("n"), m.end("n"))
-    for m in NAME_EN.finditer(t):
-        if not any(w.lower().strip(".,") in NO_NAME for w in m.group().split()):
+    at = 0
+    while m := NAME_EN.search(t, at):
+        words = m.group().split()
+        if any(w.lower().strip(".,") in NO_NAME for w in words):
+            at = m.start() + len(words[0])  # a name may begin within
+        else:
             take("person_name", m.start(), m.end())
+            at = m.end()
     return sorted(found)
 
 

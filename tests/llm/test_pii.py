@@ -12,6 +12,10 @@ def test_emails(text):
     assert [k for k, _ in kinds(f"发到{text}就行")] == ["email"]
 
 
+def test_a_mail_behind_at():
+    assert kinds("mail me at XU.RUOXI@HOME.EXAMPLE.ORG") == [("email", "XU.RUOXI@HOME.EXAMPLE.ORG")]
+
+
 @pytest.mark.parametrize("text", ["photo@2x.png", "晴天娃娃@所有人 等通知", "meet at the harbour", "look at report.docx", "see a@b"])
 def test_no_emails(text):
     assert "email" not in [k for k, _ in kinds(text)]
@@ -45,7 +49,7 @@ def test_no_addresses(text):
     assert kinds(text) == []
 
 
-@pytest.mark.parametrize("text,name", [("收件人 林望舒，好", "林望舒"), ("联系欧阳南乔就行", "欧阳南乔"), ("何 翊今天请假", "何 翊"), ("找程子衿拿车票", "程子衿"), ("ask Greta R. Varga-Holt about it", "Greta R. Varga-Holt"), ("signed by LIN RUOXI", "LIN RUOXI"), ("Whitlocke, Joren / x", "Whitlocke, Joren"), ("好\n任珩今…", "任珩")])
+@pytest.mark.parametrize("text,name", [("收件人 林望舒，好", "林望舒"), ("联系欧阳南乔就行", "欧阳南乔"), ("何 翊今天请假", "何 翊"), ("找程子衿拿车票", "程子衿"), ("ask Greta R. Varga-Holt about it", "Greta R. Varga-Holt"), ("signed by LIN RUOXI", "LIN RUOXI"), ("Whitlocke, Joren / x", "Whitlocke, Joren"), ("好\n任珩今…", "任珩"), ("好的（孙 翊）", "孙 翊"), ("on Wednesday, Greta Velloso said", "Greta Velloso")])
 def test_person_names(text, name):
     assert kinds(text) == [("person_name", name)]
 
