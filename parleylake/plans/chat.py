@@ -295,10 +295,10 @@ def media_histogram(spark: SparkSession, d: str) -> DataFrame:
     return audit.node_histogram(nested.flatten_nested(table(spark, d, "asset_matches").select("match_id", "rich_nodes").distinct(), "match_id", "rich_nodes"))
 
 
-@query("""with e as (select msg_table, td_offset as s, td_offset + td_len as e from td_records where td_offset >= 0 and td_len > 0),
- g as (select msg_table, coalesce(max(e) over (partition by msg_table order by s, e rows between unbounded preceding and 1 preceding), 0) as gap_start, s as gap_end from e) select * from g where gap_end > gap_start""")
+@query("""with e as (select msg_table, rowid, td_offset as s, td_offset + td_len as e from td_records where td_offset >= 0 and td_len > 0),
+ g as (select msg_table, rowid, coalesce(max(e) over (partition by msg_table, rowid order by s, e rows between unbounded preceding and 1 preceding), 0) as gap_start, s as gap_end from e) select * from g where gap_end > gap_start""")
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return audit.coverage_gaps(table(spark, d, "td_records").select("msg_table", F.col("td_offset").alias("start"), (F.col("td_offset") + F.col("td_len")).alias("end")), key=["msg_table"])
+    return audit.coverage_gaps(table(spark, d, "td_records").select("msg_table", "rowid", F.col("td_offset").alias("start"), (F.col("td_offset") + F.col("td_len")).alias("end")), key=["msg_table", "rowid"])
 
 
 _SENDER = r"regexp_replace(trim(sender_uin), '^0+(.)', '\1')"
