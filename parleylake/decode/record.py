@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from parleylake.decode.cursor import Cursor, Short
 
@@ -21,13 +22,17 @@ def reasonable(text: str, longest: int = 65536) -> bool:
     return 0 < len(text.encode("utf-8", "replace")) <= longest and "�" not in text and not _CONTROL.search(text)
 
 
+@lru_cache(maxsize=256)
+def _masked(mask: int) -> bytes:
+    return bytes(b ^ mask for b in range(256))
+
+
 def unkey(data: bytes) -> bytes:
     """Undo the key that depends on the length: every byte inverted and combined with both halves of the length."""
     n = len(data)
     if not 0 < n <= LONGEST_KEYED:
         return b""
-    mask = 0xFF ^ (n & 0xFF) ^ (n >> 8)
-    return data.translate(bytes(b ^ mask for b in range(256)))
+    return data.translate(_masked(0xFF ^ (n & 0xFF) ^ (n >> 8)))
 
 
 #: The same transformation applied twice gives the bytes back.

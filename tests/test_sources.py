@@ -75,3 +75,16 @@ def test_coverage_and_probes(spark):
     targets = spark.createDataFrame([("t", [1, 3, 10, 31, 99]), ("u", [1])], "msg_table string, targets array<long>")
     assert sorted(x.rowid for x in sampling.rows_at_or_after(rows, targets).collect()) == [1, 9, 30, 31]
     assert sampling.probe_sample(rows.limit(0), random_points=3).count() == 0
+
+
+def test_random_probes_equal_a_plain_loop(spark):
+    top = spark.createDataFrame([("group_1", 1000), ("buddy_好", 7), ("empty", 0)], "msg_table string, max_rowid long")
+    for r in sampling.random_targets(top, 5).collect():
+        h = 14695981039346656037
+        for b in r.msg_table.encode():
+            h = ((h ^ b) * 1099511628211) % 2**64
+        state, want = h ^ (r.max_rowid * 2**17) % 2**64, []
+        for _ in range(5 if r.max_rowid else 0):
+            state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
+            want.append(1 + state % r.max_rowid)
+        assert r.targets == want
