@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +35,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{context._parleylake_session}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, as an archive in the shared folder.
+
+    Python workers only find what lies on their own path, which need not be the driver's.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_parleylake_shipped", False):
+        return
+    here, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, str(f.relative_to(here.parent)))
+    target = f"{shared_dir(spark)}/parleylake-code/{uuid.uuid4().hex}/parleylake.zip"
+    at = context._jvm.org.apache.hadoop.fs.Path(target)
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(target)
+    context._parleylake_shipped = True
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables this session has written to the shared folder; results not yet read from them are lost."""
     made = getattr(spark.sparkContext, "_parleylake_session", None)
