@@ -19,24 +19,26 @@ def _any_of(chars: str) -> bytes:
     return b"(?:" + b"|".join(c.encode() for c in chars) + b")"
 
 
-#: Natural boundaries over UTF-8 bytes, strongest first: paragraph, line, sentence, clause, word.
+SPACES = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+#: Natural boundaries over UTF-8 bytes, strongest first: paragraph, line, sentence, clause; words come last.
 BOUNDARIES = [
     re.compile(rb"\n[ \t\r]*\n\s*"),
     re.compile(rb"\n\s*"),
     re.compile(b"(?:" + _any_of("。！？…") + b"+(?:" + _any_of("”’」』）") + rb"|[\"'])*|[.!?]+[\"')\]]*(?=\s))\s*"),
     re.compile(b"(?:" + _any_of("，；：、") + rb"|[,;:](?=\s))\s*"),
-    re.compile(rb"\s+"),
 ]
 
 
 def boundary_tokens(raw: bytes, ends: np.ndarray) -> list[list[int]]:
     """Per kind of boundary, the sorted numbers of tokens before it; white space may move behind the cut."""
+    space = np.isin(np.frombuffer(raw, np.uint8), SPACES)
+    solid = np.concatenate([[0], np.cumsum(~space)])
+    words = np.flatnonzero(space & ~np.append(space[1:], False)) + 1
     found = []
-    for pattern in BOUNDARIES:
-        at = np.fromiter((m.end() for m in pattern.finditer(raw)), np.int64)
+    for at in [*(np.fromiter((m.end() for m in p.finditer(raw)), np.int64) for p in BOUNDARIES), words]:
         k = np.searchsorted(ends, at, "right")
         before = np.where(k > 0, ends[np.maximum(k, 1) - 1], 0)
-        found.append(sorted({int(i) for i, lo, hi in zip(k, before, at) if i and not raw[lo:hi].strip()}))
+        found.append(np.unique(k[(k > 0) & (solid[at] == solid[before])]).tolist())
     return found
 
 
