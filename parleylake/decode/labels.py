@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parleylake.decode.message import Element, elements, quote_of, shown
+from parleylake.decode.message import Element, elements, embedded_media, media_label, quote_of, shown
 
 # The names of the numbered faces from 0 on, and the one face that has a shortcut instead.
 FACES = (
@@ -120,7 +120,7 @@ def style_ids(es: list[Element]) -> list[int]:
 def display(data: bytes) -> str:
     """The text a message shows, with replies folded, packets opened, and a label where nothing else is shown."""
     es = expanded(elements(data))
-    return "".join(with_suffixes(es, folded(es))) or unshown_label(es)
+    return "".join(with_suffixes(es, folded(es))) or unshown_label(es) or media_label(embedded_media(data))
 
 
 def status(es: list[Element]) -> list[str]:

@@ -356,3 +356,32 @@ def render(data: bytes) -> tuple[str, list[dict], str]:
         refs = n.get("candidates") or []
         html.append(f'<span class="{n["type"]}"' + (f' data-src="{escape(refs[0])}"' if refs else "") + f">{escape(t)}</span>")
     return "".join(text), nodes, "".join(html)
+
+
+def file_meta(e: Element) -> dict:
+    """name, size, uuid and hash of a file element, as far as its texts and wire fields tell.
+
+    A size is a text ``<n>Byte``, else the largest number from 1 KB to 8 TB among the wire fields.
+    """
+    texts = e.texts()
+    said = next((int(m.group(1)) for t in texts for m in [re.search(r"(\d+)\s*Byte", t)] if m), None)
+    numbers = [n.varint for n in e.proto if n.varint is not None and 1024 <= n.varint < 1 << 43]
+    name = next((re.split(r"[\\/:]", r)[-1] for r in e.media()), "")
+    first = lambda p: next((m.group() for t in texts for m in [re.search(p, t)] if m), "")
+    return {"name": name, "size": said if said is not None else max(numbers, default=None), "uuid": first(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), "hash": first(r"(?<![0-9a-fA-F])[0-9a-fA-F]{32}(?![0-9a-fA-F])")}
+
+
+def title_previews(e: Element, most: int = 6) -> list[str]:
+    """The first lines of a forwarded chat: the texts of string items in its lists."""
+    return [t for r in e.records if r.tag == "TA_ITEM" and r.header == 8 for t in r.texts[:1]][:most]
+
+
+def embedded_media(data: bytes) -> list[str]:
+    """References to media within text runs of a message, for messages whose elements show nothing."""
+    return list(dict.fromkeys(m.group() for _, t in runs_of_text(data) for m in MEDIA.finditer(t)))
+
+
+def media_label(refs: list[str]) -> str:
+    """What stands for media in a text, by the kind of the references; '' for none."""
+    kind = next((k for k, p in KIND if any(re.search(p, r, re.I) for r in refs)), None)
+    return {"image": "[图片]", "video": "[视频]", "voice": "[语音]", "file": "[文件]"}.get(kind, "")

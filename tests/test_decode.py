@@ -236,3 +236,14 @@ def test_labels_and_folding():
     index = td(*[(8, n, keyed("x")) for n in ("bStructMsgVersion", "arrMMTMsgIndex", "arrPackets")])
     assert labels.display(HEADER + index) == labels.SHOWN["index"] or labels.unshown_label(message.elements(HEADER + index)) == labels.SHOWN["index"]
     assert labels.status(message.elements(HEADER + text_element("a") + element(0x0E))) == ["rendered", "ignored"]
+
+
+def test_file_meta_titles_and_embedded_media():
+    from parleylake.decode import labels
+
+    e = message.elements(element(7, (2, "report.pdf".encode("utf-16-le")), (3, "2048Byte".encode("utf-16-le")), (4, b"0123456789abcdef0123456789abcdef")))[0]
+    assert message.file_meta(e) == {"name": "report.pdf", "size": 2048, "uuid": "", "hash": "0123456789abcdef0123456789abcdef"}
+    forward = message.elements(HEADER + ta(*[(8, keyed(f"line {i}")) for i in range(9)], (3, keyed("other"))))[0]
+    assert message.title_previews(forward) == [f"line {i}" for i in range(6)]
+    hidden = b"MSG" + bytes(17) + b"\xfe" + "UserDataImage:a.png".encode("utf-16-le") + b"\xfe\xfe"
+    assert message.embedded_media(hidden[21:]) == ["UserDataImage:a.png"] and labels.display(hidden[21:]) in ("[图片]", "UserDataImage:a.png")
