@@ -245,5 +245,5 @@ def test_file_meta_titles_and_embedded_media():
     assert message.file_meta(e) == {"name": "report.pdf", "size": 2048, "uuid": "", "hash": "0123456789abcdef0123456789abcdef"}
     forward = message.elements(HEADER + ta(*[(8, keyed(f"line {i}")) for i in range(9)], (3, keyed("other"))))[0]
     assert message.title_previews(forward) == [f"line {i}" for i in range(6)]
-    hidden = b"MSG" + bytes(17) + b"\xfe" + "UserDataImage:a.png".encode("utf-16-le") + b"\xfe\xfe"
+    hidden = b"MSG" + bytes(17) + b"\xfe" + "UserDataImage:a.png".encode("utf-16-le") + bytes(4)
     assert message.embedded_media(hidden[21:]) == ["UserDataImage:a.png"] and labels.display(hidden[21:]) in ("[图片]", "UserDataImage:a.png")
