@@ -126,3 +126,11 @@ t as (select src_field, owner_key, json_tree.fullkey as f, regexp_replace(regexp
 k as (select src_field, owner_key, f, case when f = '$' then null else p end as p from t)
 select distinct src_field, owner_key, coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(f, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') as node_path,
  case when p is null then '' else coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') end as parent_path from k"""
+SQL["p6_schema"] = r"""with recursive v as (
+ select cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches union all select msg_table || ':' || rowid, member_profile from messages union all select msg_table || ':' || rowid, conversation from messages),
+u as (select j from v where json_valid(j) union all select json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))),
+m as (select json_tree.path as p, json_tree.key as member, json_tree.type as t, case when json_tree.type = 'NULL' then null when json_tree.type = 'VARCHAR' then json_extract_string(json_tree.value, '$') else cast(json_tree.value as varchar) end as v
+ from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY') and json_tree.type not in ('OBJECT', 'ARRAY') and json_tree.key is not null and not regexp_matches(json_tree.fullkey, '\]$')),
+r as (select coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[[0-9]+\]', '[]', 'g'), '.', '/'), '/'), ''), '$') as array_path, member,
+ case when v is null then 0 when regexp_matches(v, '^-?(0|[1-9][0-9]{0,17})$') then 1 when regexp_matches(v, '^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$') then 2 when v in ('true', 'false') then 4 else 8 end as k from m)
+select array_path, member, case bit_or(k) when 1 then 'long' when 2 then 'double' when 3 then 'double' when 4 then 'boolean' else 'string' end as kind, count(*) as nodes from r group by 1, 2"""
