@@ -110,3 +110,13 @@ SQL: dict[str, str] = {
     "p5_found": _ROWS + "select msg_table from j where state <> 'whole'",
     "p5_turns": _ROWS + "select o.msg_table, turn, rowid, parent_rowid, root_rowid, role, t as msg_time, text from o join j on j.msg_table = o.msg_table where j.state = 'whole' and not blank",
 }
+
+SQL["p5_threads"] = """with recursive m as (select msg_table, rowid as msg_rowid, min(msg_seq) as msg_seq from messages where msg_table is not null and msg_seq is not null and rowid is not null group by 1, 2),
+q as (select q.msg_table, m.msg_seq, q.seq from (select msg_table, msg_rowid, min(seq) as seq from quote_refs where seq is not null group by 1, 2) q join m on m.msg_table = q.msg_table and m.msg_rowid = q.msg_rowid),
+e as (select msg_table || ':' || msg_seq as id, min(msg_table || ':' || seq) as parent from q group by 1),
+n as (select * from e union all select distinct m.msg_table || ':' || m.msg_seq, cast(null as varchar) from m where (m.msg_table || ':' || m.msg_seq) in (select parent from e union select msg_table || ':' || seq from q) and (m.msg_table || ':' || m.msg_seq) not in (select id from e)),
+c as (select count(*) as k from n),
+w as (select id, id as place, 0 as depth from n union all select w.id, n.parent, w.depth + 1 from w join n on n.id = w.place join n p on p.id = n.parent where w.depth <= (select k from c)),
+f as (select id, max(depth) as depth, arg_max(place, depth) as place from w group by 1)
+select regexp_replace(f.id, ':-?[0-9]+$', '') as msg_table, cast(regexp_extract(f.id, ':(-?[0-9]+)$', 1) as bigint) as msg_seq, case when f.depth <= (select k from c) then cast(regexp_extract(f.place, ':(-?[0-9]+)$', 1) as bigint) end as root_seq,
+ case when f.depth <= (select k from c) then f.depth end as depth, case when f.depth > (select k from c) then 'cycle' when n.parent is null then 'rooted' else 'orphan' end as state from f join n on n.id = f.place"""
