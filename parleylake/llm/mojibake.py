@@ -61,15 +61,25 @@ def _pieces(s: str, wrong: str) -> Iterator[tuple[str, bytes | None]]:
             s = s[e.end :]
 
 
-def undo(run: str, right: str, wrong: str) -> tuple[str, bool]:
-    """The run with the chain undone wherever its bytes allow, and whether they fit throughout, as chance rarely has it."""
+def undo(run: str, right: str, wrong: str, written: dict[tuple[str, str], list[tuple[str, bytes | None]]] | None = None) -> tuple[str, bool]:
+    """The run with the chain undone wherever its bytes allow, and whether they fit throughout, as chance rarely has it.
+
+    ``written`` keeps what a wrong encoding makes of a run, since several chains share it.
+    """
     if wrong == "utf-16-be":
         high = [c for c in run if ord(c) > 0x7F]
         if not high or any(ord(c) & 0xFF and ord(c) > 0xFF for c in high) or not any(ord(c) > 0xFF for c in high):
             return run, False
         return "".join(chr(ord(c) >> 8) if ord(c) > 0xFF else c for c in run), len(high) > 2
+    pieces = written.get((run, wrong)) if written is not None else None
+    if pieces is None:
+        pieces = list(_pieces(run, wrong))
+        if written is not None:
+            written[(run, wrong)] = pieces
+    if right == "utf-8" and not any(raw is not None and UTF8.search(raw) for _, raw in pieces):
+        return run, False
     out, sure, some = [], True, False
-    for piece, raw in _pieces(run, wrong):
+    for piece, raw in pieces:
         if raw is None or not HIGH.search(piece):
             out.append(piece)
             sure = sure and (raw is not None or piece == "�")
@@ -120,6 +130,7 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
     high = set(HIGH.findall(text))
     east = any(c >= "\u2e80" for c in high)
     found: list[tuple[int, str, bool]] = []
+    written: dict = {}
     for c, (right, wrong, times) in enumerate(CHAINS):
         # a wrong multi-byte decoding shows East Asian characters, a single-byte one its own
         if not (east if SHOWN[wrong] is None else high & SHOWN[wrong]) and wrong != "utf-16-be":
@@ -130,7 +141,7 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
                 continue
             new, sure = r, True
             for _ in range(times):
-                step, s = undo(new, right, wrong)
+                step, s = undo(new, right, wrong, written)
                 if step == new:
                     new = r
                     break
@@ -142,7 +153,9 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
         sets = [tuple(undone)]
         if len(undone) > 1:
             ks = list(undone)
-            sets += [tuple(k for k in ks if undone[k][1]), tuple(ks[1:]), tuple(ks[:-1]), tuple(ks[:1]), tuple(ks[-1:])]
+            sets.append(tuple(k for k in ks if undone[k][1]))
+            if SHOWN[wrong] is None:  # only these can also write what was put before or behind in the right script
+                sets += [tuple(ks[1:]), tuple(ks[:-1]), tuple(ks[:1]), tuple(ks[-1:])]
         for chosen in dict.fromkeys(s for s in sets if s):
             found.append((c, "".join(undone[i][0] if i in chosen else r for i, r in enumerate(runs)), any(undone[i][1] for i in chosen)))
     return found
