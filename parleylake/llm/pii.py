@@ -364,22 +364,23 @@ def mask_personal(df: DataFrame, fields: list[str], *, key: bytes = b"parleylake
         surrogates = collision_free(found, key)
     s = surrogates
 
-    def masked(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in texts:
+    def masked(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            # a text that a batch holds several times, or in several fields, is read once
             seen: dict[str | None, str | None] = {None: None}
             out = []
-            for t in a.to_pylist():
-                if t not in seen:
-                    parts, at = [], 0
-                    for h in find(t):
-                        parts += [t[at : h.start], placeholder.format(kind=h.kind.upper(), surrogate=s.written(h.kind, t[h.start : h.end]))]
-                        at = h.end
-                    seen[t] = "".join([*parts, t[at:]])
-                out.append(seen[t])
-            yield pa.array(out, pa.string())
-
-    from pyspark.sql.functions import arrow_udf
-
-    masked.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    replace = arrow_udf(masked, "string")
-    return df.withColumns({f"{f}_masked": replace(F.col(f)) for f in fields})
+            for a in columns:
+                for t in a.to_pylist():
+                    if t not in seen:
+                        parts, at = [], 0
+                        for h in find(t):
+                            parts += [t[at : h.start], placeholder.format(kind=h.kind.upper(), surrogate=s.written(h.kind, t[h.start : h.end]))]
+                            at = h.end
+                        seen[t] = "".join([*parts, t[at:]]) if at else t
+                out.append(pa.array([seen[t] for t in a.to_pylist()], pa.string()))
+            yield pa.StructArray.from_arrays(out, names=[f"m{i}" for i in range(len(out))])
+
+    masked.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    made = F.arrow_udf(masked, ", ".join(f"m{i} string" for i in range(len(fields))))(*[F.col(f) for f in fields])
+    kept = df.drop(*[f"{f}_masked" for f in fields])
+    return kept.select("*", made.alias("_masked")).select(*kept.columns, *[F.col(f"_masked.m{i}").alias(f"{f}_masked") for i, f in enumerate(fields)])
