@@ -52,3 +52,16 @@ def current_sources(prepared: DataFrame) -> DataFrame:
     """The newest row per role (columns seq, role, ok, source_path, prepared_path), with the path to use."""
     best = prepared.groupBy("role").agg(F.max(F.struct("seq", "ok", "source_path", "prepared_path")).alias("s")).select("role", "s.*")
     return best.withColumn("path", F.coalesce(F.nullif(F.col("prepared_path"), F.lit("")), "source_path"))
+
+
+def resolve(selector: str, known: list[str], roots: list[str]) -> str:
+    """The file a selector means: an absolute path that is known, one below the first of the roots that has it, or the only known file of that name."""
+    plain = lambda p: p.replace("\\", "/").rstrip("/")
+    have = {plain(p).lower(): p for p in known}
+    for candidate in [plain(selector), *[f"{plain(r)}/{plain(selector)}" for r in roots]]:
+        if candidate.lower() in have:
+            return have[candidate.lower()]
+    named = [p for k, p in have.items() if k.rsplit("/", 1)[-1] == plain(selector).lower()]
+    if len(named) != 1:
+        raise ValueError(f"{selector!r} names {len(named)} files")
+    return named[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleylake.functions.text import tsv_cell
+from parleylake.functions.text import safe_file_name, tsv_cell
 
 
 def write_csv(df: DataFrame, path: str, *, force: bool = False) -> None:
@@ -57,3 +57,14 @@ def markdown(header: list[str], rows: list[tuple]) -> str:
     width = [max(3, *(len(r[i]) for r in cells)) for i in range(len(header))]
     lines = ["| " + " | ".join(c.ljust(w) for c, w in zip(r, width)) + " |" for r in cells]
     return "\n".join([lines[0], "| " + " | ".join("-" * w for w in width) + " |", *lines[1:]])
+
+
+def with_file_names(streams: DataFrame, keys: list[str], stream: str = "stream") -> DataFrame:
+    """Streams with ``file_name``, safe for any file system and different for different streams of a file.
+
+    Names that several streams would share, letter case aside, get a hash of the stream's own name.
+    """
+    named = streams.withColumn("_safe", safe_file_name(F.regexp_replace(stream, "/", "_")))
+    shared = named.groupBy(*keys, F.lower("_safe").alias("_low")).agg((F.count_distinct(stream) > 1).alias("_many"))
+    j = named.withColumn("_low", F.lower("_safe")).join(shared, [*keys, "_low"])
+    return j.withColumn("file_name", F.when(F.col("_many"), F.concat("_safe", F.lit("."), F.substring(F.sha2(stream, 256), 1, 12))).otherwise(F.col("_safe"))).drop("_safe", "_low", "_many")

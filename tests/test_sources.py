@@ -88,3 +88,16 @@ def test_random_probes_equal_a_plain_loop(spark):
             state = (state * 6364136223846793005 + 1442695040888963407) % 2**64
             want.append(1 + state % r.max_rowid)
         assert r.targets == want
+
+
+def test_selectors_and_file_names(spark):
+    import pytest
+
+    known = ["/a/Msg.db", "/b/x/Index.db", "/c/Index.db"]
+    assert files.resolve("/a/msg.DB", known, []) == "/a/Msg.db" and files.resolve("x\\Index.db", known, ["/a", "/b"]) == "/b/x/Index.db" and files.resolve("Msg.db", known, []) == "/a/Msg.db"
+    for bad in ("Index.db", "none.db"):
+        with pytest.raises(ValueError):
+            files.resolve(bad, known, [])
+    df = spark.createDataFrame([("f", "a/b"), ("f", "A_b"), ("f", "c:d"), ("g", "a/b")], "file string, stream string")
+    got = {(r.file, r.stream): r.file_name for r in sinks.with_file_names(df, ["file"]).collect()}
+    assert got[("f", "c:d")] == "c_d" and got[("g", "a/b")] == "a_b" and len({v.lower() for k, v in got.items() if k[0] == "f"}) == 3
