@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,39 +123,47 @@ def _repertoire(wrong: str) -> frozenset[str] | None:
 SHOWN = {w: _repertoire(w) for _, w, _ in CHAINS}
 
 
+@lru_cache(maxsize=50_000)
+def undone_by(run: str) -> tuple[tuple[int, str, bool], ...]:
+    """(chain, restored run, sure) of every chain that can be undone in a run; many strings share their runs."""
+    high = set(HIGH.findall(run))
+    east = any(c >= "\u2e80" for c in high)
+    found, written = [], {}
+    for c, (right, wrong, times) in enumerate(CHAINS):
+        # a wrong multi-byte decoding shows East Asian characters, a single-byte one its own
+        if not (east if SHOWN[wrong] is None else high & SHOWN[wrong]) and wrong != "utf-16-be":
+            continue
+        new, sure = run, True
+        for _ in range(times):
+            step, s = undo(new, right, wrong, written)
+            if step == new:
+                new = run
+                break
+            new, sure = step, sure and s
+        if new != run:
+            found.append((c, new, sure))
+    return tuple(found)
+
+
 def candidates(text: str) -> list[tuple[int, str, bool]]:
     """(chain, restored text, sure) of every way to undo a chain; runs between spaces and brackets may be left as they are."""
     if not HIGH.search(text):
         return []
     runs = CUT.split(text)
-    high = set(HIGH.findall(text))
-    east = any(c >= "\u2e80" for c in high)
+    by_chain: dict[int, dict[int, tuple[str, bool]]] = {}
+    for i in range(0, len(runs), 2):
+        if HIGH.search(runs[i]):
+            known = undone_by if len(runs[i]) <= 200 else undone_by.__wrapped__  # long runs hardly come again
+            for c, new, sure in known(runs[i]):
+                by_chain.setdefault(c, {})[i] = (new, sure)
     found: list[tuple[int, str, bool]] = []
-    written: dict = {}
-    for c, (right, wrong, times) in enumerate(CHAINS):
-        # a wrong multi-byte decoding shows East Asian characters, a single-byte one its own
-        if not (east if SHOWN[wrong] is None else high & SHOWN[wrong]) and wrong != "utf-16-be":
-            continue
-        undone = {}
-        for i, r in enumerate(runs):
-            if i % 2 or not HIGH.search(r):
-                continue
-            new, sure = r, True
-            for _ in range(times):
-                step, s = undo(new, right, wrong, written)
-                if step == new:
-                    new = r
-                    break
-                new, sure = step, sure and s
-            if new != r:
-                undone[i] = (new, sure)
-        if not undone:
-            continue
+    for c in sorted(by_chain):
+        undone = by_chain[c]
         sets = [tuple(undone)]
         if len(undone) > 1:
             ks = list(undone)
             sets.append(tuple(k for k in ks if undone[k][1]))
-            if SHOWN[wrong] is None:  # only these can also write what was put before or behind in the right script
+            if SHOWN[CHAINS[c][1]] is None:  # only these can also write what was put before or behind in the right script
                 sets += [tuple(ks[1:]), tuple(ks[:-1]), tuple(ks[:1]), tuple(ks[-1:])]
         for chosen in dict.fromkeys(s for s in sets if s):
             found.append((c, "".join(undone[i][0] if i in chosen else r for i, r in enumerate(runs)), any(undone[i][1] for i in chosen)))
