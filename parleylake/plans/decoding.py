@@ -39,7 +39,9 @@ def _made(spark: SparkSession, d: str) -> DataFrame:
         rec = record.TD + (1).to_bytes(2, "little") + b"\x08" + len(name).to_bytes(2, "little") + name + len(value).to_bytes(4, "little") + value
         return b"MSG" + bytes(17) + b"\x01" + len(part).to_bytes(2, "little") + part + rec
 
-    return table(spark, d, "messages").where("length(trim(text)) > 0").select("text").distinct().withColumn("content", F.udf(build, "binary", useArrow=True)("text"))
+    # few bytes, but much work each: without a number of its own the distinct texts would end in one task
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return table(spark, d, "messages").where("length(trim(text)) > 0").select("text").distinct().repartition(parts).withColumn("content", F.udf(build, "binary", useArrow=True)("text"))
 
 
 @query()
