@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parleylake.functions.names import path_key
+from parleylake.runtime import materialise
 
 BLOCK_BITS = 32_768
 HASHES = 4
@@ -59,7 +60,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, *, ref_id: str, ref_k
     """
     ks = [f"k{i}" for i in range(len(ref_key))]
     known = parents.select(*[F.col(c).alias(k) for c, k in zip(parent_key, ks)], F.col(parent_time).alias("pt")).where(" and ".join(f"{k} is not null" for k in [*ks, "pt"]))
-    known = known.groupBy(*ks).agg(F.min("pt").alias("pt"))
+    # read three times: to size the filter, to fill it and to verify
+    known = materialise(known.groupBy(*ks).agg(F.min("pt").alias("pt")), "parents")
     r = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_time).alias("ref_time"), *[F.col(c).alias(k) for c, k in zip(ref_key, ks)])
     bloom, blocks = bloom_filter(known, ks, max_blocks=max_blocks)
     marked = maybe_known(r, ks, bloom, blocks)
@@ -83,6 +85,7 @@ def matches_without_file(matches: DataFrame, files: DataFrame, *, max_blocks: in
     m = matches.select(F.col("match_id").alias("ref_id"), F.col("ingested_at").alias("ref_time"), F.concat(F.coalesce("candidate_paths", F.array().cast("array<string>")), F.coalesce(paths_within(F.col("unmatched_reason")), F.array().cast("array<string>"))).alias("paths"))
     named = m.select("ref_id", "ref_time", F.explode(F.array_distinct(F.transform(F.array_compact("paths"), path_key))).alias("k0")).where("k0 <> ''")
     known = files.where(~F.coalesce(F.col("is_deleted"), F.lit(False)) & F.col("path").isNotNull() & F.col("listed_at").isNotNull()).groupBy(path_key(F.col("path")).alias("k0")).agg(F.min("listed_at").alias("pt"))
+    known = materialise(known, "parents")
     bloom, blocks = bloom_filter(known, ["k0"], max_blocks=max_blocks)
     marked = maybe_known(named, ["k0"], bloom, blocks)
     # definite orphan paths keep no file; the others are verified by the exact join
