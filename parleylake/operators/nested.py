@@ -89,14 +89,15 @@ def merged_schema(nodes: DataFrame) -> DataFrame:
     return seen.select("array_path", "member", kind.alias("kind"), "nodes")
 
 
-def child_tables(nodes: DataFrame, schema: DataFrame, *, most: int = 50_000) -> dict[str, DataFrame]:
+def child_tables(nodes: DataFrame, schema: DataFrame, *, only: list[str] | None = None, most: int = 50_000) -> dict[str, DataFrame]:
     """One flat typed table per array level or member object, keyed by its array_path.
 
-    Each has node_id and parent_id (hashes of field, owner and path), src_field where the nodes have it, owner_key, ordinal and a column per scalar member.
+    ``only`` names the tables to make, since nodes of deep data have many. Each has node_id and parent_id (hashes of field, owner and path), src_field where the nodes have it, owner_key, ordinal and a column per scalar member.
     The schema is metadata: more than ``most`` entries raise an error. Member columns get the prefix ``m_``, so they
     cannot clash with the link columns; names that differ only in case share a column, the first non-null value counts.
     """
-    rows = schema.orderBy("array_path", "member").limit(most + 1).collect()
+    wanted = schema if only is None else schema.where(F.col("array_path").isin(only))
+    rows = wanted.orderBy("array_path", "member").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the merged schema has more than {most} entries")
     by: dict[str, dict[str, list]] = {}

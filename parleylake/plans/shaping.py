@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parleylake.operators import exactly_once as eo
 from parleylake.operators import nested, orphans, wide
-from parleylake.runtime import table
+from parleylake.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,8 +54,9 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_assets(spark: SparkSession, d: str) -> DataFrame:
     """The child table of the assets of top-level nodes, with its parents' types."""
-    nodes = nested.flatten_nested(table(spark, d, "asset_matches").distinct(), "match_id", "rich_nodes")
-    tables = nested.child_tables(nodes, nested.merged_schema(nodes))
+    rows = table(spark, d, "asset_matches").select("match_id", "rich_nodes").distinct()
+    nodes = materialise(nested.flatten_nested(rows, "match_id", "rich_nodes"), "nodes")
+    tables = nested.child_tables(nodes, nested.merged_schema(nodes), only=["[]", "[]/assets[]"])
     parents = tables["[]"].select(F.col("node_id").alias("parent_id"), F.col("m_type").alias("parent_type"))
     return tables["[]/assets[]"].join(parents, "parent_id").select("owner_key", "node_id", "parent_id", "ordinal", "parent_type", "m_kind", "m_path", "m_name")
 
