@@ -33,10 +33,15 @@ def _clean(s: str) -> str:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-def explode_levels(values: list[tuple[str, object]]) -> Iterator[tuple[str, str, str, str, int | None, list[tuple[str, str | None]]]]:
+def _text(x: object) -> str | None:
+    return x if isinstance(x, str) or x is None else json.dumps(x, ensure_ascii=False)
+
+
+def explode_levels(values: list[tuple[str, object]], scalars: bool = False) -> Iterator[tuple]:
     """Objects of all values, level by level: each round explodes the arrays and member objects of the round before.
 
-    A queue entry is (owner, node path, schema path, nearest enclosing object's path, ordinal, value).
+    A queue entry is (owner, node path, schema path, nearest enclosing object's path, ordinal, value). With ``scalars``
+    the scalars in arrays are given too, with their text in place of the list of members.
     """
     level = [(o, "", "", "" if isinstance(v, dict) else "$", None, v) for o, v in values]
     while level:
@@ -44,14 +49,18 @@ def explode_levels(values: list[tuple[str, object]]) -> Iterator[tuple[str, str,
         for owner, path, kind, parent, ordinal, v in level:
             if isinstance(v, dict):
                 here = path or "$"
-                yield owner, here, kind or "$", parent, ordinal, [(k, x if isinstance(x, str) or x is None else json.dumps(x, ensure_ascii=False)) for k, x in v.items() if not isinstance(x, (dict, list))]
+                yield owner, here, kind or "$", parent, ordinal, [(k, _text(x)) for k, x in v.items() if not isinstance(x, (dict, list))]
                 below += [(owner, f"{path}/{k}" if path else k, f"{kind}/{k}" if kind else k, here, None, x) for k, x in v.items() if isinstance(x, (dict, list))]
             elif isinstance(v, list):
                 below += [(owner, f"{path}/{i}" if path else str(i), f"{kind}[]", parent, i, x) for i, x in enumerate(v) if isinstance(x, (dict, list))]
+                if scalars:
+                    for i, x in enumerate(v):
+                        if not isinstance(x, (dict, list)):
+                            yield owner, f"{path}/{i}" if path else str(i), f"{kind}[]", parent, i, _text(x)
         level = below
 
 
-def flatten_nested(df: DataFrame, owner: str, value: str) -> DataFrame:
+def flatten_nested(df: DataFrame, owner: str, value: str, *, scalars: bool = False) -> DataFrame:
     """One row per JSON object inside ``value``: owner_key, node_path, parent_path, array_path, ordinal, members.
 
     ``node_path`` (member names and 0-based positions joined by ``/``; the outermost object is ``$``) is the surrogate
@@ -60,20 +69,25 @@ def flatten_nested(df: DataFrame, owner: str, value: str) -> DataFrame:
     positions replaced by ``[]``. ``ordinal`` is the position in the innermost array, null outside arrays. ``members``
     holds the scalar members as text. Values that are null, empty, damaged or nested beyond the parser's depth give no
     rows, nor do scalars; of a member named twice in one object the last counts. Repeated rows give repeated nodes.
+    With ``scalars`` those inside arrays give rows too: members is null there, and a further column ``scalar`` has the text.
     Every level is exploded within the Arrow batch, so nothing is shuffled.
     """
 
+    arrow = _ARROW.append(pa.field("scalar", pa.string())) if scalars else _ARROW
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owners, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(owners), 2000):
                 parsed = [(o, v) for o, t in zip(owners[lo : lo + 2000], texts[lo : lo + 2000]) if isinstance(v := parse_any(t), (dict, list))]
-                rows = [(o, _clean(p), _clean(q), _clean(a), n, [(_clean(k), x if x is None else _clean(x)) for k, x in m]) for o, p, a, q, n, m in explode_levels(parsed)]
+                rows = []
+                for o, p, a, q, n, m in explode_levels(parsed, scalars):
+                    held = isinstance(m, list)
+                    rows.append((o, _clean(p), _clean(q), _clean(a), n, [(_clean(k), x if x is None else _clean(x)) for k, x in m] if held else None, None if held or m is None else _clean(m)))
                 if rows:
-                    cols = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.where(F.col(value).isNotNull()).select(F.col(owner).cast("string").alias("owner_key"), F.col(value).alias("value")).mapInArrow(run, NODES)
+    return df.where(F.col(value).isNotNull()).select(F.col(owner).cast("string").alias("owner_key"), F.col(value).alias("value")).mapInArrow(run, NODES + ", scalar string" * scalars)
 
 
 def merged_schema(nodes: DataFrame) -> DataFrame:
@@ -122,11 +136,44 @@ def child_tables(nodes: DataFrame, schema: DataFrame, *, only: list[str] | None
     return tables
 
 
-def chat_nodes(matches: DataFrame, messages: DataFrame) -> DataFrame:
+def child_rows(nodes: DataFrame, *, most: int = 2000) -> DataFrame:
+    """The rows of all child tables in one typed table, for nodes flattened with ``scalars``.
+
+    One row per object and per scalar in an array, whatever its path: src_field where the nodes have it, owner_key,
+    array_path, node_path, node_id and parent_id as in ``child_tables``, ordinal, a column per member name and ``value`` for
+    the scalars. A name has one type over all paths, the narrowest that holds all its values, so the plan does not grow
+    with the paths. Names that differ only in case or signs keep columns of their own, with numbers behind them. More
+    than ``most`` names raise an error. Nodes are read twice, so they should be stored. Equal rows are kept once.
+    """
+    inner = F.col("members").isNull()
+    split = nodes.select(F.when(inner, "value").otherwise("member").alias("array_path"), F.coalesce("members", F.create_map(F.lit("value"), "scalar")).alias("members"))
+    rows = merged_schema(split).orderBy("array_path", "member").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the nodes have more than {most} member names")
+    kinds = {"long": "bigint"}
+    named: dict[str, int] = {}
+    cols, value = [], "string"
+    for r in rows:
+        if r.array_path == "value":
+            value = kinds.get(r.kind, r.kind)
+            continue
+        n = "m_" + re.sub(r"[^\w]", "_", r.member)
+        while n.lower() in named:
+            named[n.lower()] += 1
+            n = f"{n}_{named[n.lower()]}"
+        named[n.lower()] = 1
+        cols.append(F.try_element_at("members", F.lit(r.member)).try_cast(kinds.get(r.kind, r.kind)).alias(n))
+    within = ["src_field"] if "src_field" in nodes.columns else []
+    key = lambda p: F.xxhash64(*within, F.col("owner_key"), F.col(p))
+    links = [key("node_path").alias("node_id"), F.when(F.col("parent_path") != "", key("parent_path")).alias("parent_id")]
+    return nodes.select(*within, "owner_key", "array_path", "node_path", *links, "ordinal", inner.alias("is_scalar"), *cols, F.col("scalar").try_cast(value).alias("value")).distinct()
+
+
+def chat_nodes(matches: DataFrame, messages: DataFrame, *, scalars: bool = False) -> DataFrame:
     """Nodes of the three nested fields of the chat tables, with the field's name in ``src_field``."""
     row = messages.withColumn("_owner", F.concat_ws(":", "msg_table", F.col("rowid").cast("string")))
     parts = [("asset_matches.rich_nodes", matches, "match_id", "rich_nodes"), ("messages.member_profile", row, "_owner", "member_profile"), ("messages.conversation", row, "_owner", "conversation")]
-    made = [flatten_nested(df, o, v).select(F.lit(n).alias("src_field"), "*") for n, df, o, v in parts]
+    made = [flatten_nested(df, o, v, scalars=scalars).select(F.lit(n).alias("src_field"), "*") for n, df, o, v in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 

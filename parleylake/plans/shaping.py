@@ -52,13 +52,21 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(_nodes(spark, d))
 
 
+def p6_children(spark: SparkSession, d: str) -> DataFrame:
+    """The typed child rows of every level of all three fields."""
+    nodes = nested.chat_nodes(table(spark, d, "asset_matches"), table(spark, d, "messages"), scalars=True)
+    return nested.child_rows(materialise(nodes, "nodes"))
+
+
 def p6_assets(spark: SparkSession, d: str) -> DataFrame:
-    """The child table of the assets of top-level nodes, with its parents' types."""
+    """The assets of nodes at every depth, with their parents' types."""
     rows = table(spark, d, "asset_matches").select("match_id", "rich_nodes").distinct()
     nodes = materialise(nested.flatten_nested(rows, "match_id", "rich_nodes"), "nodes")
-    tables = nested.child_tables(nodes, nested.merged_schema(nodes), only=["[]", "[]/assets[]"])
-    parents = tables["[]"].select(F.col("node_id").alias("parent_id"), F.col("m_type").alias("parent_type"))
-    return tables["[]/assets[]"].join(parents, "parent_id").select("owner_key", "node_id", "parent_id", "ordinal", "parent_type", "m_kind", "m_path", "m_name")
+    key = lambda p: F.xxhash64("owner_key", p)
+    member = lambda n: F.try_element_at("members", F.lit(n))
+    found = nodes.where(F.col("array_path").rlike(r"(^|/)assets(\[\])+$")).select("owner_key", key("node_path").alias("node_id"), key("parent_path").alias("parent_id"), "ordinal", *[member(n).alias(f"m_{n}") for n in ("kind", "path", "name")])
+    parents = nodes.select(key("node_path").alias("parent_id"), member("type").alias("parent_type"))
+    return found.join(parents, "parent_id", "left").select("owner_key", "node_id", "parent_id", "ordinal", "parent_type", "m_kind", "m_path", "m_name")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +78,7 @@ def p7_messages(spark: SparkSession, d: str) -> DataFrame:
     return eo.exactly_once(table(spark, d, "sample_rows"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p6_found, p6_schema, p6_assets, p7_found, p7_messages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p6_found, p6_schema, p6_children, p6_assets, p7_found, p7_messages)}
 
 _FIELDS = """with f as (select stream, entry_key, field_index, field_name, uint_value, texts, read_at from kv_fields
  union all select stream, uin, f.field_index, f.field_name, f.uint_value, f.texts, read_at from (select stream, uin, read_at, unnest(fields) as f from member_profiles)),

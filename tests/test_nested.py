@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parleylake.operators import nested
+from parleylake.plans import shaping
 
 
 def paths(value):
@@ -62,3 +63,24 @@ def test_clashing_members_and_leading_zeros(spark):
 def test_empty(spark):
     n = nested.flatten_nested(spark.createDataFrame([], "id string, value string"), "id", "value")
     assert n.count() == 0 and nested.child_tables(n, nested.merged_schema(n)) == {}
+
+
+def test_child_rows_of_all_levels(spark):
+    df = spark.createDataFrame([("1", '[{"t":"x","c":[{"t":"y","n":5},{"c":[{"n":"z"}]}]},[{"n":1}]]'), ("2", '{"c":[7,null,{"N":true}],"e":{}}'), ("2", '{"c":[7,null,{"N":true}],"e":{}}')], "id string, value string")
+    n = nested.flatten_nested(df, "id", "value", scalars=True)
+    rows = nested.child_rows(n).collect()
+    assert sorted((r.owner_key, r.array_path, r.node_path) for r in rows) == sorted(
+        [("1", "[]", "0"), ("1", "[]/c[]", "0/c/0"), ("1", "[]/c[]", "0/c/1"), ("1", "[]/c[]/c[]", "0/c/1/c/0"), ("1", "[][]", "1/0"), ("2", "$", "$"), ("2", "c[]", "c/0"), ("2", "c[]", "c/1"), ("2", "c[]", "c/2"), ("2", "e", "e")]
+    )
+    by = {(r.owner_key, r.node_path): r for r in rows}
+    assert by["2", "c/0"].value == 7 and by["2", "c/1"].is_scalar and by["1", "0/c/1/c/0"].m_n_2 == "z" and by["2", "c/2"].m_N is True
+    assert by["1", "0/c/1/c/0"].parent_id == by["1", "0/c/1"].node_id and by["2", "c/0"].parent_id == by["2", "$"].node_id
+
+
+def test_assets_of_all_depths_and_children_of_all_fields(spark, tmp_path):
+    spark.createDataFrame([(1, '[{"type":"a","assets":[{"kind":"k"}],"children":[{"type":"b","assets":[{"kind":"l"}]}]}]'), (2, '{"type":"c","assets":[{"kind":"m"}]}')], "match_id long, rich_nodes string").write.parquet(f"{tmp_path}/asset_matches.parquet")
+    spark.createDataFrame([("t", 1, '{"fields":[{"label":"x"}]}', '{"group_profile":{"label":"3"}}')], "msg_table string, rowid long, member_profile string, conversation string").write.parquet(f"{tmp_path}/messages.parquet")
+    assert sorted((r.owner_key, r.parent_type, r.m_kind) for r in shaping.p6_assets(spark, str(tmp_path)).collect()) == [("1", "a", "k"), ("1", "b", "l"), ("2", "c", "m")]
+    rows = shaping.p6_children(spark, str(tmp_path)).collect()
+    assert {(r.src_field, r.node_path) for r in rows} == {(r.src_field, r.node_path) for r in shaping.p6_found(spark, str(tmp_path)).collect()}
+    assert {r.m_label for r in rows if r.src_field != "asset_matches.rich_nodes"} == {None, "x", "3"}
