@@ -145,17 +145,23 @@ def undone_by(run: str) -> tuple[tuple[int, str, bool], ...]:
     return tuple(found)
 
 
-def candidates(text: str) -> list[tuple[int, str, bool]]:
-    """(chain, restored text, sure) of every way to undo a chain; runs between spaces and brackets may be left as they are."""
+def undone_runs(text: str) -> tuple[list[str], dict[int, dict[int, tuple[str, bool]]]]:
+    """The runs between spaces and brackets with these, and by chain the restored run and sureness of each place it can be undone at."""
+    by_chain: dict[int, dict[int, tuple[str, bool]]] = {}
     if not HIGH.search(text):
-        return []
+        return [text], by_chain
     runs = CUT.split(text)
-    by_chain: dict[int, dict[int, tuple[str, bool]]] = {}
     for i in range(0, len(runs), 2):
         if HIGH.search(runs[i]):
             known = undone_by if len(runs[i]) <= 200 else undone_by.__wrapped__  # long runs hardly come again
             for c, new, sure in known(runs[i]):
                 by_chain.setdefault(c, {})[i] = (new, sure)
+    return runs, by_chain
+
+
+def candidates(text: str, known: tuple[list[str], dict[int, dict[int, tuple[str, bool]]]] | None = None) -> list[tuple[int, str, bool]]:
+    """(chain, restored text, sure) of the ways to undo a chain that need no model; with one, ``chosen_runs`` adds the likeliest set of runs."""
+    runs, by_chain = known or undone_runs(text)
     found: list[tuple[int, str, bool]] = []
     for c in sorted(by_chain):
         undone = by_chain[c]
@@ -163,7 +169,7 @@ def candidates(text: str) -> list[tuple[int, str, bool]]:
         if len(undone) > 1:
             ks = list(undone)
             sets.append(tuple(k for k in ks if undone[k][1]))
-            if SHOWN[CHAINS[c][1]] is None:  # only these can also write what was put before or behind in the right script
+            if SHOWN[CHAINS[c][1]] is None:  # these write all of what was put before or behind in the right script
                 sets += [tuple(ks[1:]), tuple(ks[:-1]), tuple(ks[:1]), tuple(ks[-1:])]
         for chosen in dict.fromkeys(s for s in sets if s):
             found.append((c, "".join(undone[i][0] if i in chosen else r for i, r in enumerate(runs)), any(undone[i][1] for i in chosen)))
@@ -211,14 +217,50 @@ def log_likelihood(texts: list[str], m: Model) -> np.ndarray:
     return np.add.reduceat(score, starts)
 
 
-CANDIDATES = "field string, text string, n long, chains array<int>, restored array<string>, sure array<boolean>"
+CANDIDATES = "field string, text string, n long, chains array<int>, restored array<string>, sure array<boolean>, run_chains array<int>, run_places array<int>, run_texts array<string>, run_sure array<boolean>"
+_LISTS = [pa.list_(t) for t in (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_())]
+#: So much likelier (log) a run must be as it is to stay so beside runs that are undone: mostly a string was garbled as a whole.
+STAYS = 2.0
 
 
 def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [candidates(t) for t in b.column(1).to_pylist()]
-        lists = [pa.array([[c[k] for c in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=["field", "text", "n", "chains", "restored", "sure"])
+        cols: list[list] = [[] for _ in _LISTS]
+        for t in b.column(1).to_pylist():
+            known = undone_runs(t)
+            found = candidates(t, known)
+            # where a chain fits one run only there is no choice
+            single = [(c, i, new, sure) for c, undone in known[1].items() if len(undone) > 1 for i, (new, sure) in undone.items()]
+            for k in range(3):
+                cols[k].append([x[k] for x in found])
+            for k in range(4):
+                cols[3 + k].append([x[k] for x in single])
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, _LISTS)]], names=[x.split()[0] for x in CANDIDATES.split(", ")])
+
+
+def chosen_runs(texts: list[str], single: list[list[tuple[int, int, str, bool]]], m: Model) -> list[list[tuple[int, str, bool]]]:
+    """For each text and chain the version with the likeliest set of runs undone, where that is some but not all.
+
+    Separators stay as they are and likelihood sees no further than the character before, so each run can be weighed by
+    itself: every subset is weighed by as many steps as there are runs.
+    """
+    split = [CUT.split(t) if s else [] for t, s in zip(texts, single)]
+    around = [(r[i - 1][-1:] if i else "", r[i], r[i + 1][:1] if i + 1 < len(r) else "", new) for r, s in zip(split, single) for _, i, new, _ in s]
+    gain = log_likelihood([a + new + z for a, _, z, new in around], m) - log_likelihood([a + old + z for a, old, z, _ in around], m)
+    out: list[list[tuple[int, str, bool]]] = []
+    at = 0
+    for runs, s in zip(split, single):
+        chains: dict[int, list[tuple[float, int, str, bool]]] = {}
+        for k, (c, i, new, sure) in enumerate(s):
+            chains.setdefault(c, []).append((float(gain[at + k]), i, new, sure))
+        at += len(s)
+        made = []
+        for c, options in chains.items():
+            taken = {i: (new, sure) for g, i, new, sure in options if g > -STAYS}
+            if len(taken) < len(options) and any(g > 0 for g, *_ in options):
+                made.append((c, "".join(taken[i][0] if i in taken else r for i, r in enumerate(runs)), any(x for _, x in taken.values())))
+        out.append(made)
+    return out
 
 
 def posteriors(b: pa.RecordBatch, m: Model | None, fields: dict[str, int]) -> Iterator[tuple[int, list[int], list[str], list[bool], np.ndarray]]:
@@ -231,6 +273,14 @@ def posteriors(b: pa.RecordBatch, m: Model | None, fields: dict[str, int]) -> It
     chains = [[LOST if "�" in t else IDENTITY, *c] for t, c in zip(texts, b.column(3).to_pylist())]
     versions = [[t, *v] for t, v in zip(texts, b.column(4).to_pylist())]
     sure = [[False, *x] for x in b.column(5).to_pylist()]
+    if m is not None:
+        single = [list(zip(*x)) for x in zip(*[b.column(k).to_pylist() for k in range(6, 10)])]
+        for i, made in enumerate(chosen_runs(texts, single, m)):
+            for c, v, known in made:
+                if not any(c == x and v == y for x, y in zip(chains[i], versions[i])):
+                    chains[i].append(c)
+                    versions[i].append(v)
+                    sure[i].append(known)
     several = [i for i, c in enumerate(chains) if len(c) > 1]
     if m is not None:
         flat = log_likelihood([v for i in several for v in versions[i]], m)

@@ -51,3 +51,12 @@ def test_nulls_empty_long_and_repeated(spark):
     got = mojibake.repair_garbled(df, keys=["k"])
     assert sorted({r.k for r in got.collect()} - {4}) == [3, 5] and got.where("k = 3").count() == 2
     assert mojibake.repair_garbled(df.limit(0), keys=["k"]).count() == 0
+
+
+def test_genuine_words_beside_garbled_ones_stay(spark):
+    texts = [f"{a} {b} {n}" for a in ("Привет", "Общая папка", "новый файл") for b in ("Straße", "Grün am Fluß", "déjà vu") for n in range(40)]
+    mixed = {"Straße Ïðèâåò": "Straße Привет", "Ïðèâåò Straße": "Привет Straße", "Grün Ïðèâåò Straße": "Grün Привет Straße"}
+    garbled = [wrong("Привет " + str(n), "cp1251", "west") for n in range(30)]
+    df = spark.createDataFrame([(i, "f", t) for i, t in enumerate([*texts, *garbled, *mixed])], "k long, field string, text string")
+    got = {r.text: r.restored for r in mojibake.repair_garbled(df, keys=["k"]).collect()}
+    assert {t: got.get(t) for t in mixed} == mixed and not set(texts) & set(got)
