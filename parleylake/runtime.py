@@ -76,6 +76,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The bytes that the sources of ``df`` hold, by the optimizer's statistics; sources of unknown size count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def parts_for(df: DataFrame, bytes_per_part: int = 64 << 20) -> int:
+    """A number of partitions for ``df`` that grows with its sources, at least ``spark.sql.shuffle.partitions``.
+
+    For the places where the number is fixed when the plan is made, which adaptive execution may not change.
+    """
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_per_part))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path written by this library."""
     jvm = spark.sparkContext._jvm
