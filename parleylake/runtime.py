@@ -79,7 +79,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
 def input_bytes(df: DataFrame) -> int:
     """The bytes that the sources of ``df`` hold, by the optimizer's statistics; sources of unknown size count as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     return sum(x for x in sizes if x < 1 << 60)
 
 
