@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _turns(spark: SparkSession, d: str, carry: list[str] | None = None) -> DataFrame:
-    return conversations.reassemble(table(spark, d, "messages"), table(spark, d, "own_accounts"), carry=carry)
+    return conversations.reassemble(table(spark, d, "messages"), table(spark, d, "own_accounts"), table(spark, d, "quote_refs"), carry=carry)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_turns(spark: SparkSession, d: str) -> DataFrame:
     """Ordered turns of the conversations kept."""
-    return conversations.kept_turns(_turns(spark, d, ["text"])).select("msg_table", "turn", "rowid", "parent_rowid", "root_rowid", "role", F.col("t").alias("msg_time"), "text")
+    return conversations.kept_turns(_turns(spark, d, ["text"])).select("msg_table", "turn", "rowid", "parent_rowid", "root_rowid", "depth", "link", "role", F.col("t").alias("msg_time"), "text")
 
 
 def p5_threads(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,11 @@ def p5_threads(spark: SparkSession, d: str) -> DataFrame:
     return conversations.reply_threads(table(spark, d, "messages"), table(spark, d, "quote_refs"))
 
 
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Reply threads as paths from their first message to each last reply."""
+    return conversations.thread_paths(table(spark, d, "messages"), table(spark, d, "quote_refs"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -89,7 +94,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_masked, p4_found, p4_restored, p5_found, p5_turns, p5_threads, p8_found, p8_report, p8_clean, p9_mix, p9_report, p10_found, p10_pieces)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_masked, p4_found, p4_restored, p5_found, p5_turns, p5_threads, p5_paths, p8_found, p8_report, p8_clean, p9_mix, p9_report, p10_found, p10_pieces)}
 
 _ROWS = r"""with m as (
  select msg_table, rowid, arg_min(struct_pack(msg_time := msg_time, sender := nullif(regexp_replace(sender_uin, '[\s\p{Z}\p{Cc}\p{Cf}]', '', 'g'), ''), is_self := is_self, text := text, ingested_at := ingested_at), ingested_at) as s
@@ -100,23 +105,37 @@ r as (
   case when a.account_kind = 'system' then 'system' when coalesce(s.is_self, false) or coalesce(a.account_kind = 'self', false) then 'own' else 'other' end as role
  from m left join own_accounts a on a.uin = try_cast(s.sender as bigint)),
 j as (
- select msg_table, case when 2 * count_if(t is null) >= count(*) or 2 * count_if(not known) >= count(*) then 'broken'
+ select msg_table, case when 2 * count_if(t is null or not known) >= count(*) then 'broken'
   when count_if(not blank and role <> 'system') = 0 then 'empty'
   when count_if(not blank and role = 'own') = 0 or count_if(not blank and role = 'other') = 0 then 'no_reply' else 'whole' end as state from r group by msg_table),
-o as (select *, row_number() over w - 1 as turn, lag(rowid) over w as parent_rowid, first_value(rowid) over w as root_rowid from r window w as (partition by msg_table order by t is null, t, rowid))
+o as (select *, row_number() over w - 1 as turn, lag(rowid) over w as before, first_value(rowid) over w as root_rowid from r where msg_table is not null and rowid is not null window w as (partition by msg_table order by t is null, t, rowid)),
+q as (select q.msg_table, q.rowid, min(m.rowid) as quoted from (select msg_table, msg_rowid as rowid, min(seq) as seq from quote_refs where seq is not null and msg_table is not null and msg_rowid is not null group by 1, 2) q
+ left join messages m on m.msg_table = q.msg_table and m.msg_seq = q.seq group by 1, 2),
+e as (select o.*, q.rowid is not null as quotes, q.quoted, coalesce(q.quoted, o.before) as parent from o left join q on q.msg_table = o.msg_table and q.rowid = o.rowid)
+"""
+
+_POINTERS = """, w as (select msg_table, rowid, parent as place from e union select w.msg_table, w.rowid, e.parent from w join e on e.msg_table = w.msg_table and e.rowid = w.place),
+around as (select msg_table, rowid from w group by 1, 2 having not bool_or(place is null)),
+f as (select e.*, case when a.rowid is not null then e.before else e.parent end as parent_rowid, case when e.quotes and e.quoted is null then 'orphan' when a.rowid is not null and e.quoted is not null then 'cycle' when e.quoted is not null then 'quote' when e.before is null then 'root' else 'next' end as link
+ from e left join around a on a.msg_table = e.msg_table and a.rowid = e.rowid),
+s as (select msg_table, rowid, parent_rowid as place, 0 as n from f union all select s.msg_table, s.rowid, f.parent_rowid, s.n + 1 from s join f on f.msg_table = s.msg_table and f.rowid = s.place),
+depths as (select msg_table, rowid, max(n) as depth from s group by 1, 2)
 """
 
 SQL: dict[str, str] = {
     "p5_found": _ROWS + "select msg_table from j where state <> 'whole'",
-    "p5_turns": _ROWS + "select o.msg_table, turn, rowid, parent_rowid, root_rowid, role, t as msg_time, text from o join j on j.msg_table = o.msg_table where j.state = 'whole' and not blank",
+    "p5_turns": _ROWS.replace("with m as", "with recursive m as", 1) + _POINTERS + "select f.msg_table, turn, f.rowid, f.parent_rowid, root_rowid, depth, link, role, t as msg_time, text from f join j on j.msg_table = f.msg_table join depths d on d.msg_table = f.msg_table and d.rowid = f.rowid where j.state = 'whole' and not blank",
 }
 
-SQL["p5_threads"] = """with recursive m as (select msg_table, rowid as msg_rowid, min(msg_seq) as msg_seq from messages where msg_table is not null and msg_seq is not null and rowid is not null group by 1, 2),
+_THREADS = """with recursive m as (select msg_table, rowid as msg_rowid, min(msg_seq) as msg_seq from messages where msg_table is not null and msg_seq is not null and rowid is not null group by 1, 2),
 q as (select q.msg_table, m.msg_seq, q.seq from (select msg_table, msg_rowid, min(seq) as seq from quote_refs where seq is not null group by 1, 2) q join m on m.msg_table = q.msg_table and m.msg_rowid = q.msg_rowid),
 e as (select msg_table || ':' || msg_seq as id, min(msg_table || ':' || seq) as parent from q group by 1),
 n as (select * from e union all select distinct m.msg_table || ':' || m.msg_seq, cast(null as varchar) from m where (m.msg_table || ':' || m.msg_seq) in (select parent from e union select msg_table || ':' || seq from q) and (m.msg_table || ':' || m.msg_seq) not in (select id from e)),
 c as (select count(*) as k from n),
 w as (select id, id as place, 0 as depth from n union all select w.id, n.parent, w.depth + 1 from w join n on n.id = w.place join n p on p.id = n.parent where w.depth <= (select k from c)),
 f as (select id, max(depth) as depth, arg_max(place, depth) as place from w group by 1)
-select regexp_replace(f.id, ':-?[0-9]+$', '') as msg_table, cast(regexp_extract(f.id, ':(-?[0-9]+)$', 1) as bigint) as msg_seq, case when f.depth <= (select k from c) then cast(regexp_extract(f.place, ':(-?[0-9]+)$', 1) as bigint) end as root_seq,
+"""
+SQL["p5_threads"] = _THREADS + """select regexp_replace(f.id, ':-?[0-9]+$', '') as msg_table, cast(regexp_extract(f.id, ':(-?[0-9]+)$', 1) as bigint) as msg_seq, case when f.depth <= (select k from c) then cast(regexp_extract(f.place, ':(-?[0-9]+)$', 1) as bigint) end as root_seq,
  case when f.depth <= (select k from c) then f.depth end as depth, case when f.depth > (select k from c) then 'cycle' when n.parent is null then 'rooted' else 'orphan' end as state from f join n on n.id = f.place"""
+SQL["p5_paths"] = _THREADS + """select regexp_replace(w.id, ':-?[0-9]+$', '') as msg_table, cast(regexp_extract(w.id, ':(-?[0-9]+)$', 1) as bigint) as leaf_seq, f.depth - w.depth as position, cast(regexp_extract(w.place, ':(-?[0-9]+)$', 1) as bigint) as msg_seq
+ from w join f on f.id = w.id where f.depth <= (select k from c) and w.id not in (select parent from n where parent is not null)"""
