@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parleylake.functions.names import is_blank, name_key, whole_number
-from parleylake.runtime import new_path
 
 SQL_TYPE = {"uint": "decimal(38,0)", "text": "string", "text_list": "array<string>"}
 
@@ -56,16 +59,39 @@ def winning_values(rows: DataFrame, catalog: list[tuple[str, str]], entity: tupl
     return cells.groupBy(*keys, "ix").agg(best)
 
 
+def signed_entities(cells: DataFrame, n_keys: int) -> DataFrame:
+    """One row per entity with its signature, the numbers of exactly the attributes it has, and its values in that order."""
+    keys = [f"e{i}" for i in range(n_keys)]
+    # an entity has at most one cell per catalog entry, so its list is bounded by the catalog
+    made = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ix", "v"))).alias("c"))
+    return made.select(*keys, F.array_join(F.transform("c", lambda x: x.ix.cast("string")), ",").alias("sig"), F.transform("c", lambda x: x.v).alias("v"))
+
+
+def _dense_tables(b: pa.RecordBatch, n_keys: int, slots: list[int]) -> Iterator[pa.Table]:
+    """The dense table of each signature in a batch sorted by signature: the entity keys and the signature's own columns."""
+    sig = b.column(n_keys).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    lists = b.column(n_keys + 1)
+    values, offsets = lists.flatten(), lists.offsets.to_numpy()
+    held = [values.field(i) for i in range(3)]
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(sig)]):
+        own = [int(i) for i in sig[lo].split(",")]
+        at = int(offsets[lo] - offsets[0]) + np.arange(hi - lo) * len(own)
+        columns = {f"e{k}": b.column(k).slice(lo, hi - lo) for k in range(n_keys)}
+        yield pa.table(columns | {f"a{i}": held[slots[i]].take(pa.array(at + j)) for j, i in enumerate(own)})
+
+
 def attributes_to_wide(
     rows: DataFrame, attributes: DataFrame, *, entity: tuple[str, ...] = ("stream", "entry_key"), name: str = "field_name", index: str = "field_index",
-    uint_value: str = "uint_value", texts: str = "texts", read_at: str = "read_at", dense_tables: int = 16, buckets: int = 32,
+    uint_value: str = "uint_value", texts: str = "texts", read_at: str = "read_at",
 ) -> DataFrame:
     """One row per entity with one typed column per catalog attribute.
 
-    Characteristic sets: every entity gets the signature of exactly the attributes it has; each of the ``dense_tables``
-    most frequent signatures becomes a dense table with only its own columns, entities of all rarer signatures share
-    one further table, and the tables are put together with ``unionByName(allowMissingColumns=True)``. The number of
-    dense tables only changes the layout, never the result.
+    Characteristic sets: every entity gets the signature of exactly the attributes it has, and entities of one signature
+    form a dense table with only the signature's columns. There are as many signatures as sets of attributes, so they are
+    grouped in the data and not by a plan branch each: every task sorts its entities by signature, makes a dense table of
+    each, and puts the tables together by name, columns that a table lacks being null. Entities stay where the
+    aggregation left them, so a frequent signature makes no large task and nothing is shuffled for the signatures.
 
     Of several usable values the one with the latest ``read_at`` wins (null is earliest), then the highest index, then
     the greatest value, so repeated rows and ties change nothing. Entities without any usable value give no row; null
@@ -73,28 +99,27 @@ def attributes_to_wide(
     table with all columns.
     """
     catalog = catalog_of(attributes)
-    keys = [f"e{i}" for i in range(len(entity))]
-    cells = winning_values(rows, catalog, entity, name, index, uint_value, texts, read_at)
-    made = cells.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ix", "v")))).alias("m"))
-    made = made.withColumn("sig", F.array_join(F.map_keys("m").cast("array<string>"), ",")).withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(buckets)).cast("int"))
-    path = new_path(rows.sparkSession, "entities")
-    made.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    schema = T.StructType([*made.drop("bucket").schema.fields, T.StructField("bucket", T.IntegerType())])
-    stored = rows.sparkSession.read.schema(schema).parquet(path)
-    # a bounded list: at most `dense_tables` signatures reach the driver
-    top = [r for r in stored.groupBy("bucket", "sig").count().orderBy(F.desc("count"), "sig").limit(dense_tables).collect() if r["sig"]]
-
-    def columns(ixs: list[int]) -> list[Column]:
-        slot = {"uint": "u", "text": "t", "text_list": "l"}
-        return [F.try_element_at("m", F.lit(i)).getField(slot[catalog[i][1]]).cast(SQL_TYPE[catalog[i][1]]).alias(catalog[i][0]) for i in ixs]
-
-    names = [F.col(k).alias(c) for k, c in zip(keys, entity)]
-    rest = stored.where(~F.col("sig").isin([r["sig"] for r in top])) if top else stored
-    result = rest.select(*names, *columns(list(range(len(catalog)))))
-    for r in top:
-        dense = stored.where((F.col("bucket") == r["bucket"]) & (F.col("sig") == r["sig"])).select(*names, *columns([int(i) for i in r["sig"].split(",")]))
-        result = result.unionByName(dense, allowMissingColumns=True)
-    return result
+    n = len(entity)
+    signed = signed_entities(winning_values(rows, catalog, entity, name, index, uint_value, texts, read_at), n)
+    slots = [["uint", "text", "text_list"].index(k) for _, k in catalog]
+    schema = T.StructType([*signed.schema.fields[:n], *[T.StructField(f"a{i}", T._parse_datatype_string(SQL_TYPE[k])) for i, (_, k) in enumerate(catalog)]])
+    kinds = {"decimal(38,0)": pa.decimal128(38, 0), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                whole = pa.schema([*[pa.field(f"e{k}", b.column(k).type) for k in range(n)], *[pa.field(f"a{i}", kinds[SQL_TYPE[k]]) for i, (_, k) in enumerate(catalog)]])
+                yield from pa.concat_tables([whole.empty_table(), *_dense_tables(b, n, slots)], promote_options="permissive").cast(whole).combine_chunks().to_batches()
+
+    made = signed.sortWithinPartitions("sig").mapInArrow(run, schema)
+    return made.select(*[F.col(f"e{i}").alias(c) for i, c in enumerate(entity)], *[F.col(f"a{i}").alias(c) for i, (c, _) in enumerate(catalog)])
+
+
+def signature_report(wide: DataFrame, entity: tuple[str, ...] = ("stream", "entry_key")) -> DataFrame:
+    """Each signature of a wide table, as its attribute names in order joined by commas, with the number of its entities."""
+    attrs = sorted(c for c in wide.columns if c not in entity)
+    sig = F.array_join(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in attrs]), ",")
+    return wide.groupBy(sig.alias("signature")).agg(F.count(F.lit(1)).alias("entities"))
 
 
 def wide_cells(wide: DataFrame, entity: tuple[str, ...] = ("stream", "entry_key")) -> DataFrame:
@@ -116,4 +141,4 @@ def all_fields(kv: DataFrame, profiles: DataFrame) -> DataFrame:
     return kv.select("stream", "entry_key", "field_index", "field_name", "uint_value", "texts", "read_at").unionByName(profile_fields(profiles))
 
 
-__all__ = ["attributes_to_wide", "wide_cells", "profile_fields", "all_fields", "catalog_of", "usable_value"]
+__all__ = ["attributes_to_wide", "signature_report", "wide_cells", "profile_fields", "all_fields", "catalog_of", "usable_value"]

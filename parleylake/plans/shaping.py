@@ -27,6 +27,11 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     return w.select(*[F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c).cast("string").alias(c) for c, t in w.dtypes])
 
 
+def p1_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The characteristic sets and the number of entities of each."""
+    return wide.signature_report(_wide(spark, d))
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     return orphans.chat_orphans(t("quote_refs"), t("asset_matches"), t("messages"), t("contacts"), t("own_accounts"), t("asset_files"))
@@ -78,7 +83,7 @@ def p7_messages(spark: SparkSession, d: str) -> DataFrame:
     return eo.exactly_once(table(spark, d, "sample_rows"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_report, p6_found, p6_schema, p6_children, p6_assets, p7_found, p7_messages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p1_signatures, p2_found, p2_report, p6_found, p6_schema, p6_children, p6_assets, p7_found, p7_messages)}
 
 _FIELDS = """with f as (select stream, entry_key, field_index, field_name, uint_value, texts, read_at from kv_fields
  union all select stream, uin, f.field_index, f.field_name, f.uint_value, f.texts, read_at from (select stream, uin, read_at, unnest(fields) as f from member_profiles)),
@@ -127,6 +132,7 @@ SQL["p1_wide"] = (
     + ", ".join(f"max(v) filter (where attr_name = '{a}') as {a}" for names in _CATALOG.values() for a in names.split())
     + " from w group by 1, 2"
 )
+SQL["p1_signatures"] = f"select signature, count(*) as entities from (select stream, entry_key, string_agg(attr_name, ',' order by attr_name) as signature from ({SQL['p1_found']}) group by 1, 2) group by 1"
 SQL["p6_found"] = r"""with recursive v as (
  select 'asset_matches.rich_nodes' as src_field, cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches
  union select 'messages.member_profile', msg_table || ':' || rowid, member_profile from messages union select 'messages.conversation', msg_table || ':' || rowid, conversation from messages),

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from parleylake.operators import wide
 
@@ -37,10 +38,27 @@ def test_ties_and_repeats_do_not_matter(spark):
     assert cells(made(spark, rows * 3)) == cells(made(spark, rows[::-1])) == {("s", "a"): (None, "b", None)}
 
 
-def test_number_of_dense_tables_changes_nothing(spark):
-    rows = [("s", str(i), 0, n, 1, ["t"], T0) for i in range(40) for n in (["dwLevel"], ["strNick"], ["dwLevel", "tags"])[i % 3]]
-    one, many = made(spark, rows, dense_tables=0), made(spark, rows, dense_tables=16)
-    assert one.columns == many.columns and cells(one) == cells(many) and len(cells(one)) == 40
+def test_every_signature(spark):
+    import itertools
+
+    sets = [c for n in (1, 2, 3) for c in itertools.combinations(("dwLevel", "strNick", "tags"), n)]
+    rows = [("s", str(i), 0, n, i, [f"t{i}", "u"], T0) for i in range(200) for n in sets[i * i % 7]]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    df = made(spark, rows)
+    want = {("s", str(i)): (i if "dwLevel" in k else None, f"t{i}" if "strNick" in k else None, [f"t{i}", "u"] if "tags" in k else None) for i in range(200) for k in [sets[i * i % 7]]}
+    assert cells(df) == want
+    counts = {}
+    for v in want.values():
+        sig = ",".join(n for n, x in zip(("dwLevel", "strNick", "tags"), v) if x is not None)
+        counts[sig] = counts.get(sig, 0) + 1
+    assert {r.signature: r.entities for r in wide.signature_report(df).collect()} == counts
+
+
+def test_one_entity_holds_a_third_of_the_rows(spark):
+    rows = [("s", "hot" if i % 3 == 0 else str(i), i, "dwLevel", i, None, T0) for i in range(3000)]
+    got = cells(made(spark, rows))
+    assert got[("s", "hot")] == (2997, None, None) and len(got) == 2001
 
 
 def test_empty(spark):
