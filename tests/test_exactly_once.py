@@ -17,9 +17,13 @@ def brute(rows):
     return sorted(out)
 
 
-def surplus(spark, rows, rounds=4):
-    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
-    return sorted(r.sample_id for r in eo.surplus_copies(df, eo.build_index(df, rounds=rounds)).collect())
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+
+
+def surplus(spark, rows, rounds=4, **options):
+    df = frame(spark, rows)
+    return sorted(r.sample_id for r in eo.surplus_copies(df, eo.build_index(df, least_rounds=rounds, **options)).collect())
 
 
 def test_random_deliveries(spark):
@@ -61,3 +65,42 @@ def test_equal_hashes_are_told_apart():
     run = {"h": a(1, 5, 5, 5, 9), "t": a(1, 1, 2, 3, 1), "r": a(0, 0, 0, 0, 0), "s": a(0, 0, 0, 0, 0), "keeper": a(10, 11, 12, 13, 14)}
     keeper, has = eo._known(run, {"h": a(5, 5, 6), "t": a(3, 9, 1), "r": a(0, 0, 0), "s": a(0, 0, 0)})
     assert has.tolist() == [True, False, False] and keeper[0] == 13
+
+
+def test_reopened_index_goes_on(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = [(i, i // 100, 10**9 + i % 137, 1, 1) for i in range(900)]
+    first = eo.build_index(frame(spark, rows[:400]), path=path, per_prefix=8, least_bits=1)
+    assert first.keepers().count() == 137 and first.bits > 1
+    again = eo.DeliveryIndex(spark, path, per_prefix=8)
+    assert (again.runs, again.bits, again.size) == (first.runs, first.bits, first.size)
+    args = {"batch": "batch_id", "row_id": "sample_id", "time": "msg_time", "rand": "rand", "sender": "sender_uin"}
+    assert again.feed(frame(spark, rows[:400]), **args) == 0 and again.runs == first.runs
+    assert again.feed(frame(spark, rows), **args) == 5
+    df = frame(spark, rows)
+    assert sorted(r.sample_id for r in eo.surplus_copies(df, again).collect()) == brute(rows)
+    third = eo.DeliveryIndex(spark, path, per_prefix=8)
+    third.merge()
+    assert third.size == 137 and {r.id for r in eo.DeliveryIndex(spark, path).keepers().collect()} == set(range(137))
+    assert eo.exactly_once(df, path=path).count() == 137
+
+
+def test_longer_prefixes_change_nothing(spark):
+    rows = [(i, i % 40, 10**9 + i * 7 % 811, 1, i % 3) for i in range(3000)]
+    assert surplus(spark, rows, rounds=5, per_prefix=5, least_bits=1) == brute(rows)
+
+
+def test_cells_stay_small():
+    import numpy as np
+
+    n = eo.CELL * 2 + 5
+    a = {c: np.arange(n) for c in eo.COLS}
+    packed = eo._pack(3, a)
+    assert packed["n"].tolist() == [eo.CELL, eo.CELL, 5] and max(map(len, packed["h"])) == eo.CELL * 8
+    assert sum(len(x["h"]) for x in eo._unpack(packed)) == n
+
+
+def test_named_batches(spark):
+    rows = [(i, i // 10, 10**9 + i % 37, 1, 1) for i in range(200)]
+    df = frame(spark, rows).selectExpr("* except (batch_id)", "concat('b', batch_id) as batch_id")
+    assert sorted(r.sample_id for r in eo.surplus_copies(df, eo.build_index(df, least_rounds=3)).collect()) == brute(rows)
