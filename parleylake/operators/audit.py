@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from parleylake.functions.media import candidate_kind, is_media_candidate
 from parleylake.functions.names import is_blank
 from parleylake.functions.text import like_text, likely_role, matches_all, suspicious_score, trimmed
+from parleylake.operators.nested import member
 
 
 def row_issues(messages: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def quality_counters(messages: DataFrame) -> DataFrame:
 
 def node_histogram(nodes: DataFrame) -> DataFrame:
     """Nodes by type, with the number of owners that have one (column members of flattened nodes)."""
-    t = nodes.select("owner_key", F.try_element_at("members", F.lit("type")).alias("node_type")).where("node_type is not null")
+    t = nodes.select("owner_key", member("type").alias("node_type")).where("node_type is not null")
     return t.groupBy("node_type").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("owner_key").alias("owners"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import SYSTEM_SENDERS, first_nonempty, sender_show_name, with_mail_of
+from parleylake.operators.nested import member
 
 # Notes on where a group member's name comes from.
 NOTE_MEMBER, NOTE_TITLE, NOTE_INFO, NOTE_NONE, SYSTEM_LABEL = "群成员库", "群成员库 · 头衔: ", "消息Info名称", "群成员昵称未命中", "系统消息"
@@ -79,6 +80,6 @@ def quotes_in_order(nodes: DataFrame, quotes: DataFrame) -> DataFrame:
     """
     steps = F.transform(F.split("node_path", "/"), lambda x: F.when(x.rlike("^[0-9]+$"), F.lpad(x, 9, "0")).otherwise(x))
     by = Window.partitionBy("msg_table", "msg_rowid")
-    n = nodes.where(F.try_element_at("members", F.lit("type")) == "quote").select("msg_table", "msg_rowid", "node_path", steps.alias("o")).dropDuplicates(["msg_table", "msg_rowid", "node_path"]).withColumn("k", F.row_number().over(by.orderBy("o"))).drop("o")
+    n = nodes.where(member("type") == "quote").select("msg_table", "msg_rowid", "node_path", steps.alias("o")).dropDuplicates(["msg_table", "msg_rowid", "node_path"]).withColumn("k", F.row_number().over(by.orderBy("o"))).drop("o")
     q = quotes.select("msg_table", "msg_rowid", "quote_id").distinct().withColumn("k", F.row_number().over(by.orderBy("quote_id")))
     return n.join(q, ["msg_table", "msg_rowid", "k"])

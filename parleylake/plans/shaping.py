@@ -46,11 +46,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.chat_nodes(table(spark, d, "asset_matches"), table(spark, d, "messages"))
+    return materialise(nested.chat_nodes(table(spark, d, "asset_matches"), table(spark, d, "messages"), scalars=True), "nodes")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("src_field", "owner_key", "node_path", "parent_path").distinct()
+    """The links of the child tables' objects."""
+    return nested.child_rows(_nodes(spark, d)).where("not is_scalar").select("src_field", "owner_key", "node_path", "parent_path").distinct()
 
 
 def p6_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -59,19 +60,22 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_children(spark: SparkSession, d: str) -> DataFrame:
     """The typed child rows of every level of all three fields."""
-    nodes = nested.chat_nodes(table(spark, d, "asset_matches"), table(spark, d, "messages"), scalars=True)
-    return nested.child_rows(materialise(nodes, "nodes"))
+    return nested.child_rows(_nodes(spark, d)).distinct()
+
+
+def p6_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """The scalars of all arrays, such as candidates, texts and head_history_paths, with their place and parent."""
+    return nested.child_rows(_nodes(spark, d)).where("is_scalar").select("src_field", "owner_key", "array_path", "node_path", "parent_path", "ordinal", "value").distinct()
 
 
 def p6_assets(spark: SparkSession, d: str) -> DataFrame:
     """The assets of nodes at every depth, with their parents' types."""
-    rows = table(spark, d, "asset_matches").select("match_id", "rich_nodes").distinct()
-    nodes = materialise(nested.flatten_nested(rows, "match_id", "rich_nodes"), "nodes")
-    key = lambda p: F.xxhash64("owner_key", p)
-    member = lambda n: F.try_element_at("members", F.lit(n))
-    found = nodes.where(F.col("array_path").rlike(r"(^|/)assets(\[\])+$")).select("owner_key", key("node_path").alias("node_id"), key("parent_path").alias("parent_id"), "ordinal", *[member(n).alias(f"m_{n}") for n in ("kind", "path", "name")])
-    parents = nodes.select(key("node_path").alias("parent_id"), member("type").alias("parent_type"))
-    return found.join(parents, "parent_id", "left").select("owner_key", "node_id", "parent_id", "ordinal", "parent_type", "m_kind", "m_path", "m_name")
+    nodes = materialise(nested.flatten_nested(table(spark, d, "asset_matches"), "match_id", "rich_nodes", scalars=True), "nodes")
+    rows = nested.child_rows(nodes)
+    held = lambda n: F.col(n) if n in rows.columns else F.lit(None).cast("string")
+    found = rows.where(~F.col("is_scalar") & F.col("array_path").rlike(r"(^|/)assets(\[\])+$")).select("owner_key", "node_path", "parent_path", "ordinal", *[held(f"m_{n}").cast("string").alias(f"m_{n}") for n in ("kind", "path", "name")]).distinct()
+    parents = rows.where(~F.col("is_scalar")).select("owner_key", F.col("node_path").alias("parent_path"), held("m_type").cast("string").alias("parent_type")).distinct()
+    return found.join(parents, ["owner_key", "parent_path"], "left")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +87,7 @@ def p7_messages(spark: SparkSession, d: str) -> DataFrame:
     return eo.exactly_once(table(spark, d, "sample_rows"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p1_signatures, p2_found, p2_report, p6_found, p6_schema, p6_children, p6_assets, p7_found, p7_messages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_wide, p1_signatures, p2_found, p2_report, p6_found, p6_schema, p6_children, p6_scalars, p6_assets, p7_found, p7_messages)}
 
 _FIELDS = """with f as (select stream, entry_key, field_index, field_name, uint_value, texts, read_at from kv_fields
  union all select stream, uin, f.field_index, f.field_name, f.uint_value, f.texts, read_at from (select stream, uin, read_at, unnest(fields) as f from member_profiles)),
@@ -141,11 +145,24 @@ t as (select src_field, owner_key, json_tree.fullkey as f, regexp_replace(regexp
 k as (select src_field, owner_key, f, case when f = '$' then null else p end as p from t)
 select distinct src_field, owner_key, coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(f, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') as node_path,
  case when p is null then '' else coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') end as parent_path from k"""
-SQL["p6_schema"] = r"""with recursive v as (
- select cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches union all select msg_table || ':' || rowid, member_profile from messages union all select msg_table || ':' || rowid, conversation from messages),
-u as (select j from v where json_valid(j) union all select json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))),
-m as (select json_tree.path as p, json_tree.key as member, json_tree.type as t, case when json_tree.type = 'NULL' then null when json_tree.type = 'VARCHAR' then json_extract_string(json_tree.value, '$') else cast(json_tree.value as varchar) end as v
- from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY') and json_tree.type not in ('OBJECT', 'ARRAY') and json_tree.key is not null and not regexp_matches(json_tree.fullkey, '\]$')),
-r as (select coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[[0-9]+\]', '[]', 'g'), '.', '/'), '/'), ''), '$') as array_path, member,
- case when v is null then 0 when regexp_matches(v, '^-?(0|[1-9][0-9]{0,17})$') then 1 when regexp_matches(v, '^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$') then 2 when v in ('true', 'false') then 4 else 8 end as k from m)
-select array_path, member, case bit_or(k) when 1 then 'long' when 2 then 'double' when 3 then 'double' when 4 then 'boolean' else 'string' end as kind, count(*) as nodes from r group by 1, 2"""
+_TREE = r"""with recursive v as (
+ select 'asset_matches.rich_nodes' as src_field, cast(match_id as varchar) as owner_key, rich_nodes as j from asset_matches union all select 'messages.member_profile', msg_table || ':' || rowid, member_profile from messages union all select 'messages.conversation', msg_table || ':' || rowid, conversation from messages),
+u as (select * from v where json_valid(j) union all select src_field, owner_key, json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))),
+t as (select src_field, owner_key, json_tree.path as p, json_tree.fullkey as f, json_tree.key as member, json_tree.type as t, case when json_tree.type = 'VARCHAR' then json_extract_string(json_tree.value, '$') when json_tree.type <> 'NULL' then cast(json_tree.value as varchar) end as v
+ from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY')),
+n as (select *, regexp_replace(f, '(\[[0-9]+\])+$', '') as bare from t),
+w as (select *, {way} as node_path, coalesce(nullif({of_bare}, ''), '$') as up, {kind} as array_path from n)
+""".format(
+    way=r"ltrim(replace(regexp_replace(regexp_replace(f, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/')",
+    of_bare=r"ltrim(replace(regexp_replace(regexp_replace(regexp_replace(bare, '\.[^.\[\]]+$', ''), '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/')",
+    kind=r"ltrim(replace(regexp_replace(regexp_replace(f, '^\$', ''), '\[[0-9]+\]', '[]', 'g'), '.', '/'), '/')",
+)
+SQL["p6_schema"] = _TREE + r""", m as (select case when regexp_matches(f, '\]$') then array_path else coalesce(nullif(regexp_replace(array_path, '/?[^/]+$', ''), ''), '$') end as array_path, case when regexp_matches(f, '\]$') then '[]' else member end as member,
+ case t when 'NULL' then 0 when 'UBIGINT' then 1 when 'BIGINT' then 1 when 'DOUBLE' then 2 when 'BOOLEAN' then 4 else 8 end as k from w where t not in ('OBJECT', 'ARRAY'))
+select array_path, member, case bit_or(k) when 1 then 'long' when 2 then 'double' when 3 then 'double' when 4 then 'boolean' else 'string' end as kind, count(*) as nodes from m group by 1, 2"""
+SQL["p6_scalars"] = _TREE + r"""select distinct src_field, owner_key, array_path, node_path, up as parent_path, cast(regexp_extract(f, '\[([0-9]+)\]$', 1) as int) as ordinal, v as value from w where t not in ('OBJECT', 'ARRAY') and regexp_matches(f, '\]$')"""
+SQL["p6_assets"] = _TREE + r""", a as (select distinct owner_key, node_path, up, f, p from w where src_field = 'asset_matches.rich_nodes' and t = 'OBJECT' and regexp_matches(array_path, '(^|/)assets(\[\])+$')),
+ x as (select distinct owner_key, p, member, v from w where src_field = 'asset_matches.rich_nodes' and t not in ('OBJECT', 'ARRAY') and not regexp_matches(f, '\]$') and member in ('kind', 'path', 'name')),
+ y as (select distinct owner_key, coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(p, '^\$', ''), '\[([0-9]+)\]', '/\1', 'g'), '.', '/'), '/'), ''), '$') as up, v as parent_type from w where src_field = 'asset_matches.rich_nodes' and t not in ('OBJECT', 'ARRAY') and member = 'type' and not regexp_matches(f, '\]$'))
+select a.owner_key, a.node_path, a.up as parent_path, cast(regexp_extract(a.f, '\[([0-9]+)\]$', 1) as int) as ordinal, y.parent_type, k.v as m_kind, h.v as m_path, n.v as m_name from a left join y on y.owner_key = a.owner_key and y.up = a.up
+ left join x k on k.owner_key = a.owner_key and k.p = a.f and k.member = 'kind' left join x h on h.owner_key = a.owner_key and h.p = a.f and h.member = 'path' left join x n on n.owner_key = a.owner_key and n.p = a.f and n.member = 'name'"""

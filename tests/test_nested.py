@@ -48,7 +48,9 @@ def test_flatten(spark):
     assert got == sorted([("1", "0", "$", "[]", 0), ("1", "0/c/0", "0", "[]/c[]", 0), ("1", "0/c/1", "0", "[]/c[]", 1), ("1", "1/0", "$", "[][]", 0), ("2", "$", "", "$", None), ("2", "a", "$", "a", None), ("2", "a/b", "a", "a/b", None)], key=str)
     schema = {(r.array_path, r.member): r.kind for r in nested.merged_schema(n).collect()}
     assert schema[("[]/c[]", "n")] == "long" and schema[("[]/c[]", "t")] == "string"
-    t = nested.child_tables(n, nested.merged_schema(n))
+    full = nested.flatten_nested(df, "id", "value", scalars=True)
+    t = nested.child_tables(full, nested.merged_schema(full))
+    assert sorted((r.node_path, r.parent_path, r.ordinal, r.value) for r in t["l[]"].collect()) == [("l/0", "$", 0, 1), ("l/1", "$", 1, 2)]
     ids = {r.node_id for r in t["[]"].collect()}
     assert {r.parent_id for r in t["[]/c[]"].collect()} <= ids and dict(t["[]/c[]"].dtypes)["m_n"] == "bigint"
 
@@ -60,6 +62,23 @@ def test_clashing_members_and_leading_zeros(spark):
     assert "007" in row.values() and True in row.values()
 
 
+def test_types_are_those_of_the_json(spark):
+    df = spark.createDataFrame([("1", '{"s":"123","t":"true","l":5,"d":1.5,"m":1,"b":true,"n":null,"x":1,"big":123456789012345678901234567890}'), ("2", '{"m":2.5,"x":"1","b":false,"l":-9223372036854775808,"n":null}')], "id string, value string")
+    n = nested.flatten_nested(df, "id", "value")
+    kinds = {r.member: r.kind for r in nested.merged_schema(n).collect()}
+    assert kinds == {"s": "string", "t": "string", "l": "long", "d": "double", "m": "double", "b": "boolean", "n": "string", "x": "string", "big": "string"}
+    row = nested.child_tables(n, nested.merged_schema(n))["$"].where("owner_key = '1'").first()
+    assert (row.m_s, row.m_t, row.m_l, row.m_m, row.m_b, row.m_n, row.m_x, row.m_big) == ("123", "true", 5, 1.0, True, None, "1", "123456789012345678901234567890")
+
+
+def test_owners_with_the_same_text(spark):
+    text = '[{"a":[1,{"b":2}]}]'
+    df = spark.createDataFrame([(str(i % 5), text if i % 2 else "{}") for i in range(20)], "id string, value string")
+    n = nested.flatten_nested(df, "id", "value", scalars=True)
+    assert n.count() == 10 * 3 + 10
+    assert {(r.owner_key, r.node_path) for r in n.where("array_path = '[]/a[]'").collect()} == {(str(i), f"0/a/{k}") for i in range(5) for k in (0, 1)}
+
+
 def test_empty(spark):
     n = nested.flatten_nested(spark.createDataFrame([], "id string, value string"), "id", "value")
     assert n.count() == 0 and nested.child_tables(n, nested.merged_schema(n)) == {}
@@ -68,12 +87,12 @@ def test_empty(spark):
 def test_child_rows_of_all_levels(spark):
     df = spark.createDataFrame([("1", '[{"t":"x","c":[{"t":"y","n":5},{"c":[{"n":"z"}]}]},[{"n":1}]]'), ("2", '{"c":[7,null,{"N":true}],"e":{}}'), ("2", '{"c":[7,null,{"N":true}],"e":{}}')], "id string, value string")
     n = nested.flatten_nested(df, "id", "value", scalars=True)
-    rows = nested.child_rows(n).collect()
+    rows = nested.child_rows(n).distinct().collect()
     assert sorted((r.owner_key, r.array_path, r.node_path) for r in rows) == sorted(
         [("1", "[]", "0"), ("1", "[]/c[]", "0/c/0"), ("1", "[]/c[]", "0/c/1"), ("1", "[]/c[]/c[]", "0/c/1/c/0"), ("1", "[][]", "1/0"), ("2", "$", "$"), ("2", "c[]", "c/0"), ("2", "c[]", "c/1"), ("2", "c[]", "c/2"), ("2", "e", "e")]
     )
     by = {(r.owner_key, r.node_path): r for r in rows}
-    assert by["2", "c/0"].value == 7 and by["2", "c/1"].is_scalar and by["1", "0/c/1/c/0"].m_n_2 == "z" and by["2", "c/2"].m_N is True
+    assert by["2", "c/0"].value == 7 and dict(nested.child_rows(n).dtypes)["value"] == "bigint" and by["2", "c/1"].is_scalar and by["1", "0/c/1/c/0"].m_n_2 == "z" and by["2", "c/2"].m_N is True
     assert by["1", "0/c/1/c/0"].parent_id == by["1", "0/c/1"].node_id and by["2", "c/0"].parent_id == by["2", "$"].node_id
 
 
@@ -82,5 +101,5 @@ def test_assets_of_all_depths_and_children_of_all_fields(spark, tmp_path):
     spark.createDataFrame([("t", 1, '{"fields":[{"label":"x"}]}', '{"group_profile":{"label":"3"}}')], "msg_table string, rowid long, member_profile string, conversation string").write.parquet(f"{tmp_path}/messages.parquet")
     assert sorted((r.owner_key, r.parent_type, r.m_kind) for r in shaping.p6_assets(spark, str(tmp_path)).collect()) == [("1", "a", "k"), ("1", "b", "l"), ("2", "c", "m")]
     rows = shaping.p6_children(spark, str(tmp_path)).collect()
-    assert {(r.src_field, r.node_path) for r in rows} == {(r.src_field, r.node_path) for r in shaping.p6_found(spark, str(tmp_path)).collect()}
+    assert {(r.src_field, r.node_path) for r in rows if not r.is_scalar} == {(r.src_field, r.node_path) for r in shaping.p6_found(spark, str(tmp_path)).collect()}
     assert {r.m_label for r in rows if r.src_field != "asset_matches.rich_nodes"} == {None, "x", "3"}
