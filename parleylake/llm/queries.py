@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Both texts of all messages with typed placeholders that hold collision-checked surrogates."""
-    return pii.mask_personal(table(spark, d, "messages"), ["text", "display_text"]).select("msg_table", "rowid", "ingested_at", "text_masked", "display_text_masked")
+    """Both texts of all messages with typed placeholders that hold collision-checked surrogates.
+
+    The key is the setting ``parleylake.mask.key`` of the session; without it a key is drawn for this run and forgotten.
+    """
+    key = spark.conf.get("parleylake.mask.key", None) or secrets.token_hex(32)
+    return pii.mask_personal(table(spark, d, "messages"), ["text", "display_text"], key=key.encode()).select("msg_table", "rowid", "ingested_at", "text_masked", "display_text_masked")
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
