@@ -5,13 +5,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parleylake.runtime import materialise
+
 #: Shortest verbatim match: characters for scripts that write a word in a few characters, and for all others.
 SHORT, LONG = 6, 12
 #: Characters by which suffixes are ordered; longer matches are extended one by one.
@@ -157,22 +159,31 @@ def verbatim_matches(codes: np.ndarray, q: Queries, block: int = 2_000_000) -> I
         if m.sum():
             j = np.repeat(q.at[first:last], m)
             p = array[np.repeat(lo[first:last] - edges[first:last], m) + edges[first] + np.arange(m.sum())]
-            start = (p == 0) | (j == 0) | (codes[np.maximum(p, 1) - 1] != q.codes[np.maximum(j, 1) - 1]) | (q.codes[np.maximum(j, 1) - 1] == 1)
-            j, p = j[start], p[start]
-            yield j, p, common_length(q.codes, j, codes, p)
+            left = q.codes[np.maximum(j, 1) - 1]
+            start = (p == 0) | (j == 0) | (codes[np.maximum(p, 1) - 1] != left) | (left == 1)
+            # a match that goes on to the left is found from there, unless it is too short for the script it begins with there
+            kept = start | ((q.codes[j] >= DENSE_SCRIPTS) & (left < DENSE_SCRIPTS))
+            j, p, start = j[kept], p[kept], start[kept]
+            n_common = common_length(q.codes, j, codes, p)
+            kept = start | (n_common + 1 < LONG)
+            yield j[kept], p[kept], n_common[kept]
         first = last
 
 
 def chained(j: np.ndarray, p: np.ndarray, n: np.ndarray, rules: Rules) -> tuple[int, int, int, int]:
-    """The best chain of one document's matches with one item: item span, verbatim characters, first and end shard position.
+    """The chain of one document's matches with one item that has the longest span of those that are verbatim enough.
 
-    Matches are taken in order of the document; each continues the predecessor that gives it the longest span.
+    Gives item span, verbatim characters, first and end shard position. Matches are taken in order of the document. Each
+    keeps every chain that ends in it and that no other one there beats in both span and verbatim share, a chain of its
+    own among them, so a dense passage is not hidden by stray matches before it.
     """
     o = np.lexsort([j, p])
     j, p, n = j[o].tolist(), p[o].tolist(), n[o].tolist()
-    q_from, d_from, held, reach = list(j), list(p), list(n), rules.doc_gap + max(n)
+    reach = rules.doc_gap + max(n)
+    fronts: list[list[tuple[int, float, int, int]]] = []  # (span, slack, verbatim, first position), by falling span and rising slack
     best = (0, 0, 0, 0)
     for b in range(len(j)):
+        found = [(n[b], (1 - rules.verbatim) * n[b], n[b], p[b])]
         for a in range(b - 1, -1, -1):
             if p[b] - p[a] > reach:
                 break
@@ -181,12 +192,19 @@ def chained(j: np.ndarray, p: np.ndarray, n: np.ndarray, rules: Rules) -> tuple[
                 continue
             if j[b] + n[b] <= j[a] + n[a] or p[b] + n[b] <= p[a] + n[a]:
                 continue
-            if j[b] + n[b] - q_from[a] > j[b] + n[b] - q_from[b]:
-                q_from[b], d_from[b] = q_from[a], d_from[a]
-                held[b] = held[a] + n[b] + min(0, gap_q, gap_d)
-        span = j[b] + n[b] - q_from[b]
-        if span > best[0] and held[b] >= rules.verbatim * span:
-            best = (span, held[b], d_from[b], p[b] + n[b])
+            more, held = j[b] + n[b] - j[a] - n[a], n[b] + min(0, gap_q, gap_d)
+            found += [(span + more, slack + held - rules.verbatim * more, got + held, first) for span, slack, got, first in fronts[a]]
+        found.sort(key=lambda x: (-x[0], -x[1]))
+        front: list[tuple[int, float, int, int]] = []
+        for x in found:
+            if not front or x[1] > front[-1][1]:
+                front.append(x)
+        fronts.append(front)
+        for span, slack, got, first in front:
+            if slack >= 0:
+                if span > best[0]:
+                    best = (span, got, first, p[b] + n[b])
+                break
     return best
 
 
@@ -215,33 +233,43 @@ def leaks_of(texts: list[str], q: Queries, rules: Rules) -> list[tuple[int, int,
     return out
 
 
+def shortest_match(text: str) -> int:
+    """Letters and digits that a passage of this text must have in a row: ``SHORT`` if it begins with a dense script."""
+    codes, _ = fold([text])
+    return SHORT if (codes >= DENSE_SCRIPTS).any() else LONG
+
+
+def short_items(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The items that no document can leak: they have fewer letters and digits than the shortest match.
+
+    A text of so few letters is a short fragment, which is no leak wherever it stands.
+    """
+    few = F.udf(lambda t: t is None or len(fold([t])[0]) - 1 < shortest_match(t), "boolean", useArrow=True)
+    return items.where(few(F.col(text))).select(item_id, text)
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", rules: Rules = Rules(), block_chars: int = 2_000_000) -> DataFrame:
     """The documents that hold a passage of an item: doc_id, item_id, span, verbatim, item_size (letters and digits).
 
     Each Arrow batch of documents is a shard with its own suffix array; every suffix of every item is searched in it by
     binary search, the longest verbatim matches are extended from there and chained (see Rules). Only suffixes that
-    begin like an item somewhere enter the array, which loses no match of the shortest length. Items are broadcast in
-    blocks of at most ``block_chars`` characters, each block passing over all documents. Letter case, character width,
-    punctuation, spacing and symbols do not count. Null, empty and very short texts and items match nothing; repeated
-    documents give repeated rows; extra columns are ignored.
+    begin like an item somewhere enter the array, which loses no match of the shortest length. Items come in blocks of
+    some ``block_chars`` characters by hash of their id; one block at a time is broadcast, passes over all documents,
+    and is released once its leaks are written to the shared folder. Letter case, character width, punctuation, spacing
+    and symbols do not count. Null and empty texts match nothing, nor do items shorter than the shortest match (see
+    ``short_items``); repeated documents give repeated rows; extra columns are ignored.
     """
     spark = documents.sparkSession
     d = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= SHORT)
     named = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and length(t) > 0")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in named.orderBy("i").toLocalIterator():
-        if size and size + len(r.t) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, r.t))
-        size += len(r.t)
+    blocks = max(1, -(-named.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // block_chars))
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id long, span int, verbatim int, item_size int"
-    result = None
-    for rows in blocks:
-        sent = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+    def searched(block: int) -> DataFrame:
+        # bounded: an even share of all items by hash
+        sent = spark.sparkContext.broadcast([(r.i, r.t) for r in named.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = Queries(sent.value)
             for b in batches:
                 ids, texts = b.column(0), b.column(1).to_pylist()
@@ -251,9 +279,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
                         n, i, span, held = (np.array(x, np.int64) for x in zip(*found))
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(n + lo)), pa.array(q.ids[i]), pa.array(span, pa.int32()), pa.array(held, pa.int32()), pa.array(q.size[i], pa.int32())], names=["doc_id", "item_id", "span", "verbatim", "item_size"])
 
-        part = d.mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    return result.withColumnRenamed("doc_id", doc_id)
+        found = materialise(d.mapInArrow(run, schema), "leaks")
+        sent.destroy()
+        return found
+
+    return reduce(DataFrame.unionByName, map(searched, range(blocks))).withColumnRenamed("doc_id", doc_id)
 
 
 def shards(texts: list[str], chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
