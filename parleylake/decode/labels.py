@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from parleylake.decode.message import Element, elements, embedded_media, media_label, quote_of, shown
-
-# The names of the numbered faces from 0 on, and the one face that has a shortcut instead.
-FACES = (
-    "微笑 撇嘴 色 发呆 得意 流泪 害羞 闭嘴 睡 大哭 尴尬 发怒 调皮 呲牙 惊讶 难过 酷 冷汗 抓狂 吐 偷笑 可爱 白眼 傲慢 饥饿 困 惊恐 流汗 憨笑 大兵 奋斗 咒骂 疑问 嘘 晕 折磨 衰 骷髅 敲打 再见 擦汗 抠鼻 鼓掌 糗大了 坏笑 左哼哼 右哼哼 哈欠 鄙视 委屈 快哭了 阴险 亲亲 吓 可怜 "
-    "菜刀 西瓜 啤酒 篮球 乒乓 咖啡 饭 猪头 玫瑰 凋谢 示爱 爱心 心碎 蛋糕 闪电 炸弹 刀 足球 瓢虫 便便 月亮 太阳 礼物 拥抱 强 弱 握手 胜利 抱拳 勾引 拳头 差劲 爱你 NO OK 爱情 飞吻 跳跳 发抖 怄火 转圈 磕头 回头 跳绳 挥手 激动 街舞 献吻 左太极 右太极"
-).split()
-SHORTCUTS = {212: "/qw"}
+from parleylake.decode.faces import FACES, face_label
+from parleylake.decode.message import Element, elements, quote_of, summary
+
 # Names of record fields that tell transport data, calls and system messages, and what is shown for them.
 PACKET_INDEX = {"bStructMsgVersion", "arrMMTMsgIndex", "arrPackets"}
 TRANSPORT = {"arrPackets", "C2CSessionData", "dwConnTime", "dwServerTime", "dwMsgSeq", "dwBeginSeq", "dwEndSeq", "dwPacketSeq", "dwPacketCount", "dwPacketIndex", "nSessionType"}
@@ -20,12 +15,6 @@ STYLED = (0x14, 0x18, 0x19)
 LONGEST_MENTION = 64
 
 
-def face_label(number: int) -> str:
-    """``[name]`` of a face, its shortcut, or ``[face:number]``."""
-    name = FACES[number] if 0 <= number < len(FACES) else SHORTCUTS.get(number)
-    return f"[{name}]" if name else f"[face:{number}]"
-
-
 def field_names(e: Element) -> set[str]:
     """Names of the fields in an element's complete records."""
     return {f.name for r in e.records if r.record and r.record.complete for f in r.record.fields}
@@ -64,13 +53,13 @@ def expanded(es: list[Element]) -> list[Element]:
 
 
 def _mention(e: Element) -> str:
-    t = shown(e)[0].strip() if e.type == 1 else ""
+    t = summary(e).strip() if e.type == 1 else ""
     return t if t.startswith("@") and len(t) <= LONGEST_MENTION else ""
 
 
 def folded(es: list[Element]) -> set[int]:
     """Positions that a reply hides: blank texts and mentions right before the quote, and a mention repeated after it."""
-    blank = [e.type == 1 and not shown(e)[0].strip() for e in es]
+    blank = [e.type == 1 and not summary(e).strip() for e in es]
     said = [_mention(e) for e in es]
     hidden: set[int] = set()
     for i, e in enumerate(es):
@@ -88,42 +77,15 @@ def folded(es: list[Element]) -> set[int]:
     return hidden
 
 
-def with_suffixes(es: list[Element], hidden: set[int]) -> list[str]:
-    """The texts of the elements shown; faces right after a mention belong to its text."""
-    out: list[str] = []
-    joining = False
-    for i, e in enumerate(es):
-        if i in hidden:
-            joining = False
-            continue
-        text = face_text(e) if e.type == 2 else shown(e)[0]
-        if not text:
-            continue
-        if joining and e.type in (2, 0x0D):
-            out[-1] += text
-        else:
-            out.append(text)
-            joining = bool(_mention(e))
-    return out
-
-
-def face_text(e: Element) -> str:
-    """The label of a face element, whose second part byte is its number."""
-    return face_label(e.payload[3]) if e.type == 2 and len(e.payload) >= 4 and e.payload[:2] == b"\x01\x01" else shown(e)[0]
+def with_suffixes(es: list[Element], at: int, hidden: set[int]) -> tuple[str, int]:
+    """The text of an element and the position behind it; faces right after a mention belong to its text."""
+    text, following = summary(es[at]), at + 1
+    while _mention(es[at]) and following < len(es) and following not in hidden and es[following].type in (2, 0x0D) and summary(es[following]):
+        text += summary(es[following])
+        following += 1
+    return text, following
 
 
 def style_ids(es: list[Element]) -> list[int]:
     """Bubble styles named in the wire fields of custom elements."""
     return [n.varint for e in es if e.type in STYLED for n in e.proto if n.path.endswith("37.17") and n.varint is not None]
-
-
-def display(data: bytes) -> str:
-    """The text a message shows, with replies folded, packets opened, and a label where nothing else is shown."""
-    es = expanded(elements(data))
-    return "".join(with_suffixes(es, folded(es))) or unshown_label(es) or media_label(embedded_media(data))
-
-
-def status(es: list[Element]) -> list[str]:
-    """rendered, ignored or unclassified for each element."""
-    hidden = folded(es)
-    return ["ignored" if i in hidden or e.label.endswith("metadata") or field_names(e) & TRANSPORT else "rendered" if shown(e)[1] else "unclassified" for i, e in enumerate(es)]

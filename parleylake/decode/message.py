@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from parleylake.decode.cursor import Cursor, Short
+from parleylake.decode.faces import face_label
 from parleylake.decode.proto import Node, Tagged, strings, tagged, walk
 from parleylake.decode.record import TA, TD, Found, find_records, reasonable, record_end, unkey, wide_text
 
@@ -51,14 +53,18 @@ class Element:
     def label(self) -> str:
         return LABELS.get(self.type, "raw")
 
-    def named(self, name: str) -> tuple[int | None, list[str]]:
-        """Number and texts of the first record field of a name."""
+    def named(self, *names: str) -> tuple[int | None, list[str]]:
+        """Number and texts of the first field with one of the names in a complete record."""
         for r in self.records:
-            for f in r.record.fields if r.record else ():
-                if f.name == name:
-                    return f.number, f.texts
+            for f in r.record.fields if r.record and r.record.complete else ():
+                if f.name in names:
+                    return int.from_bytes(f.value, "little") if len(f.value) in (1, 2, 4, 8) and not f.texts else None, f.texts
         return None, []
 
+    def said(self, *names: str) -> str:
+        """The first text of the fields with one of the names."""
+        return next((t.strip() for n in names for t in self.named(n)[1] if t.strip()), "")
+
     def texts(self) -> list[str]:
         """Everything readable in the element, each text once, in order."""
         out = [p.text for p in self.parts] + self.strings + [n.text for n in self.proto]
@@ -77,17 +83,35 @@ class Element:
         return next((k for k, p in KIND if any(re.search(p, r, re.I) for r in refs)), None)
 
 
+_ODD = re.compile(r"[\ue000-\uf8ff\uac00-\ud7af\u1200-\u137f\ua000-\ua63f\u2c80-\u2cff\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def plausible(text: str, longest: int = 4096) -> bool:
+    """A reasonable text of which at most a twentieth are characters that wrong decoding brings about."""
+    return reasonable(text, longest) and 20 * len(_ODD.findall(text)) <= len(text)
+
+
 def part_text(kind: int, id: int, data: bytes) -> str:
-    """The text of an element's part; pictures only have texts in part 2."""
+    """The text of an element's part; pictures only have texts in part 2.
+
+    Zero units do not count, and a tenth of the characters may be unprintable, as long as none is a control character.
+    """
     if kind == 1 and id == 1:
         text = data.decode("utf-16-le", "replace").lstrip("".join(map(chr, range(9))) + "\x0b\x0c") if len(data) >= 2 and len(data) % 2 == 0 else ""
         return text if reasonable(text) else ""
     if kind in (3, 5, 6) and id != 2:
         return ""
-    text = wide_text(data)
-    if text and sum(c.isprintable() for c in text) == len(text):
-        return text
-    return data.decode("ascii") if len(data) >= 2 and re.fullmatch(rb"[\t\n\r\x20-\x7e]+", data) else ""
+    if len(data) >= 8 and re.fullmatch(rb"[\t\n\r\x20-\x7e]+", data):
+        return data.decode("ascii") if len(data) <= 4096 else ""  # read as UTF-16 this would pass for Chinese
+    if len(data) >= 2 and len(data) % 2 == 0:
+        text = data.decode("utf-16-le", "ignore").replace("\0", "")
+        if text and plausible(text):
+            return text
+    if len(data) >= 3 and 10 * len(re.findall(rb"[\t\n\r\x20-\x7e]", data)) >= 9 * len(data):
+        text = data.replace(b"\0", b"").decode("utf-8", "replace")
+        if plausible(text):
+            return text
+    return ""
 
 
 def parts_of(kind: int, payload: bytes) -> list[Part]:
@@ -285,50 +309,120 @@ def runs_of_text(data: bytes, shortest: int = 4) -> list[tuple[int, str]]:
     return [(o, t) for t, o in out.items()]
 
 
-# ------------------------------------------------------------------------------------------------ what is shown
+# ------------------------------------------------------------------------------------------------ what it says
 
+# Tokens that name an app or a store and are no text, the app id of file transfers, and its stand-in.
+GENERIC = re.compile(r"platform$|com\.tencent\.|(?:UserDataImage|UserDataCustomFace|UserDataRoot|FaceStore|GlobalSysTemp|sysres):")
+TRANSFER, FILE = "com.tencent.filetransfer", "[文件]"
+DECORATION = re.compile(r"\s*sysres:misc[\\/]bluebar[\\/]", re.I)
+IMAGE_PATH = re.compile(r"\.(?:jpe?g|png|gif|webp|bmp)$|^(?:UserDataImage|UserDataCustomFace):", re.I)
+
+
+def is_decoration(e: Element) -> bool:
+    """A picture of the program's own, which belongs to no message."""
+    return e.type in (3, 5, 6) and any(p.id == 2 and DECORATION.match(p.text) for p in e.parts)
+
+
+def meaningful(e: Element, longest: int) -> str:
+    """The first text of an element's parts that is short enough and no generic token."""
+    return next((p.text for p in e.parts if p.text and len(p.text.encode()) <= longest and not GENERIC.match(p.text)), "")
+
+
+def wire_text(e: Element, longest: int) -> str:
+    """The same among its wire fields, those of contexts first."""
+    nodes = [n for t in e.tags for n in t.fields] + e.proto
+    return next((n.text for n in nodes if n.text and len(n.text.encode()) <= longest and not GENERIC.match(n.text)), "")
+
+
+def card_of(e: Element) -> str:
+    """The XML of an element: of its payload, its parts, or a record field."""
+    return next((x for x in (card_xml(d) for d in [e.payload, *[p.data for p in e.parts]]) if x), "") or e.said("strXmlInfo")
+
+
+def card_text(xml: str, otherwise: str = "") -> str:
+    return next((t for t in (xml_attribute(xml, a).strip() for a in ("brief", "m_resid", "title", "summary")) if t), "") or otherwise.strip() or ("[结构消息]" if xml.strip() else "")
+
+
+def app_json(e: Element) -> object:
+    return next((v for v in (_json(t) for t in [*e.named("meta")[1], *e.texts()] if t.lstrip().startswith("{")) if v is not None), None)
+
+
+def _json(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def app_text(e: Element) -> str:
+    meta = app_json(e)
+    found = (json_member(meta, k) for k in ("prompt", "title", "desc", "tag")) if meta is not None else ()
+    return e.said("prompt") or next((t.strip() for t in found if isinstance(t, str) and t.strip()), "") or e.said("desc", "view", "app")
+
+
+def app_href(e: Element) -> str:
+    meta = app_json(e)
+    found = (json_member(meta, k) for k in ("jumpUrl", "source_url", "url")) if meta is not None else ()
+    return next((t for t in found if isinstance(t, str) and t.startswith(("http://", "https://"))), "")
+
+
+def _context_text(e: Element) -> str:
+    said = next((p.text.strip() for p in e.parts if p.id == 1 and p.text.strip()), "")
+    if said or e.parts:
+        return said
+    return " ".join(dict.fromkeys(t for _, t in runs_of_text(e.payload, 8) if re.search(r"[^\s!-/:-@\[-`{-~]", t)))
+
+
+def _face(e: Element) -> str:
+    if e.payload[:3] == b"\x01\x01\x00" and len(e.payload) > 3:
+        return face_label(e.payload[3])
+    said = meaningful(e, 80).removeprefix("/")
+    return f"[{said}]" if said else ""
 
-def shown(e: Element, depth: int = 0) -> tuple[str, dict]:
-    """(plain text, node) of an element; metadata shows nothing."""
-    texts = e.texts()
-    if e.type in METADATA:
-        return "", {}
-    if e.type == 1:
-        text = "".join(p.text for p in e.parts if p.id == 1) or (texts[0] if texts else "")
-        node = {"type": "mention" if text.startswith("@") else "text", "text": text}
-        uin = e.named("dwUin")[0]
-        if uin is not None and node["type"] == "mention":
-            node["uin"] = str(uin)
-        return text, node if text else {}
-    if e.type == 2:
-        face = next((p.data[0] if len(p.data) == 1 else int.from_bytes(p.data[:4], "big") for p in e.parts if p.id == 1 and p.data), None)
-        text = next((p.text for p in e.parts if p.text), f"[face:{face}]" if face is not None else "[face]")
-        return text, {"type": "face", "text": text, "face_id": face}
-    if e.type == 0x0D:
-        text = texts[0] if texts else "[emoji]"
-        return text, {"type": "emoji", "text": text, "candidates": e.media()}
-    if e.type == 0x1B:
-        app = next((t for t in texts if t.lstrip().startswith("{")), "")
-        text = str(json_member(app, "prompt") or json_member(app, "title") or "[app]")
-        return text, {"type": "app", "text": text, "app": json_member(app, "app") or ""}
-    if e.type in (0x14, 0x19, 0x07, 0x11):
-        xml = next((x for x in (card_xml(p.data) for p in [Part(0, e.payload, ""), *e.parts]) if x), "")
-        if xml:
-            text = xml_attribute(xml, "brief") or xml_attribute(xml, "title") or "[card]"
-            return text, {"type": "rich", "text": text, "href": xml_attribute(xml, "url"), "xml": xml}
-    kind = e.kind() or {0x1A: "video", 0x03: "image", 0x05: "image", 0x06: "image"}.get(e.type)
-    if kind:
-        text = {"image": "[图片]", "video": "[视频]", "voice": "[语音]", "file": "[文件]"}[kind]
-        return text, {"type": kind, "text": text, "candidates": e.media()}
-    if e.type == 0x1E:
-        return "[聊天记录]", {"type": "multi_msg", "text": "[聊天记录]", "title": texts[0] if texts else ""}
-    if e.type == 0x19:
-        seq = next((n.varint for n in e.proto if n.path.endswith("45.1") and n.varint is not None), None)
-        if seq is not None:
-            best = max((n.text for n in e.proto if n.text), key=len, default="")
-            return best, {"type": "quote", "text": best, "seq": seq}
-    text = texts[0] if texts else ""
-    return text, {"type": "text", "text": text} if text else {}
+
+def _picture(e: Element) -> str:
+    if is_decoration(e):
+        return ""
+    said = wire_text(e, 80) or next((p.text for p in e.parts if p.text and not IMAGE_PATH.search(p.text) and len(p.text.encode()) < 80), "")
+    return said or ("[图片]" if e.payload.startswith((TD, TA)) or any(IMAGE_PATH.search(p.text) for p in e.parts) else "")
+
+
+def _file(e: Element) -> str:
+    pair = [t for t in (e.said("strTitle"), e.said("strSummary")) if t]
+    card = card_text(card_of(e))
+    return meaningful(e, 120) or card or " ".join(pair) or (FILE if any(p.text == TRANSFER for p in e.parts) else "")
+
+
+def _chat(e: Element) -> str:
+    return " ".join(t for t in (e.said("brief"), e.said("title")) if t) or meaningful(e, 160)
+
+
+_SUMMARIES: dict[int, Callable[[Element], str]] = {
+    0: lambda e: next((p.text for p in e.parts if p.text), ""),
+    1: lambda e: e.said("strLinkHttp") or next((p.text for p in e.parts if p.id == 1 and p.text), ""),
+    2: lambda e: e.said("strLinkHttp") or _face(e),
+    **dict.fromkeys((3, 5, 6), _picture),
+    **dict.fromkeys((0x07, 0x11), _file),
+    0x0C: _context_text,
+    0x0D: lambda e: meaningful(e, 32),
+    0x10: lambda e: meaningful(e, 120),
+    0x14: lambda e: card_text(card_of(e), meaningful(e, 160)) or wire_text(e, 160),
+    **dict.fromkeys((0x15, 0x16, 0x18, 0x19), lambda e: meaningful(e, 160) or wire_text(e, 160)),
+    0x1A: lambda e: "[视频]",
+    0x1B: lambda e: app_text(e) or meaningful(e, 160),
+    0x1E: _chat,
+}
+
+
+def summary(e: Element) -> str:
+    """What an element says in a line of text; metadata says nothing."""
+    return _SUMMARIES[e.type](e) if e.type in _SUMMARIES else ""
+
+
+def _quote_score(n: Node) -> int:
+    """How likely a text is the quoted one: longer and deeper ones are, control characters and internal names speak against it."""
+    t = n.text.strip()
+    return len(t) + 3 * n.path.count(".") - 80 * sum(ord(c) < 32 or 127 <= ord(c) < 160 for c in t) - 200 * (t.startswith("u_") and len(t) <= 32) + 20 * ("聊天记录" in t)
 
 
 def quote_of(e: Element) -> dict | None:
@@ -336,28 +430,10 @@ def quote_of(e: Element) -> dict | None:
     values = {n: next((p.varint for p in e.proto if p.path.endswith(f"45.{n}") and p.varint is not None), None) for n in (1, 2, 3)}
     if values[1] is None:
         return None
-    # a longer text is likelier to be the quoted one, control characters and internal names speak against it
-    score = lambda n: -80 * len(re.findall(r"[\x00-\x08\x0e-\x1f]", n.text)) - 200 * n.text.startswith("u_") + len(n.text) + 3 * n.path.count(".")
-    best = max((n for n in e.proto if n.text), key=score, default=None)
+    best = max((n for n in e.proto if n.text.strip() and "45" in n.path.split(".")), key=_quote_score, default=None)
     return {"seq": values[1], "sender": values[2], "time": values[3], "text": best.text if best else ""}
 
 
-def render(data: bytes) -> tuple[str, list[dict], str]:
-    """(plain text, nodes, HTML) of a message payload."""
-    from html import escape
-
-    text, nodes, html = [], [], []
-    for e in elements(data):
-        t, n = shown(e)
-        if not n or (nodes and n == nodes[-1] and n["type"] == "text" and len(t) > 40):
-            continue
-        text.append(t)
-        nodes.append(n)
-        refs = n.get("candidates") or []
-        html.append(f'<span class="{n["type"]}"' + (f' data-src="{escape(refs[0])}"' if refs else "") + f">{escape(t)}</span>")
-    return "".join(text), nodes, "".join(html)
-
-
 def file_meta(e: Element) -> dict:
     """name, size, uuid and hash of a file element, as far as its texts and wire fields tell.
 

@@ -119,6 +119,7 @@ class Record:
     count: int = 0
     complete: bool = False
     fields: list[Field] = field(default_factory=list)
+    left: int = 0
 
 
 def field_texts(header: int, name: str, value: bytes) -> list[str]:
@@ -146,12 +147,22 @@ def fields_of(data: bytes) -> Record:
             name = string_value(c.take(c.number(2)))
             value = c.take(c.number(4))
             r.fields.append(Field(header, name, value, field_texts(header, name, value)))
-        r.complete = c.left() == 0
+        r.left = c.left()
+        r.complete = r.left == 0
     except Short:
         pass
     return r
 
 
+def issue_of(r: Record) -> str | None:
+    """What is wrong with a list of fields: too_many_fields, partial_txdata (it ends too early) or txdata_trailer (bytes behind it)."""
+    if r.count > MOST_FIELDS:
+        return "too_many_fields"
+    if len(r.fields) < r.count:
+        return "partial_txdata"
+    return "txdata_trailer" if r.left else None
+
+
 def record_end(data: bytes, at: int) -> int | None:
     """Where the TD or TA record at a position ends, None where there is no whole one."""
     c = Cursor(data, at)

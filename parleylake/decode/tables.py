@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parleylake.decode import labels, message, proto, record, stores
+from parleylake.decode import labels, message, proto, record, show, stores
 
 
 def flat_map(df: DataFrame, keys: list[str], data: str, schema: str, decode: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
@@ -63,8 +63,8 @@ def displayed(df: DataFrame, keys: list[str], data: str) -> DataFrame:
 
     def one(raw: bytes) -> Iterator[tuple]:
         es = message.elements(raw)
-        states = labels.status(es)
-        yield _safe(labels.display(raw)), labels.style_ids(es), *[states.count(x) for x in ("rendered", "ignored", "unclassified")]
+        states = show.status(es)
+        yield _safe(show.display(raw)), labels.style_ids(es), *[states.count(x) for x in ("rendered", "ignored", "unclassified")]
 
     return flat_map(df, keys, data, "display_text string, styles array<long>, rendered int, ignored int, unclassified int", one)
 
@@ -79,10 +79,63 @@ def quotes(df: DataFrame, keys: list[str], data: str) -> DataFrame:
     return flat_map(df, keys, data, "pos int, seq long, sender long, quote_time long, quote_text string", one)
 
 
-def record_issues(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """partial_txdata for records that end too early, decode_error for rows that could not be read, counted per key."""
-    issue = F.when(F.col("error").isNotNull(), "decode_error").when(~F.col("complete"), "partial_txdata")
-    return fields.select(*keys, "record", issue.alias("issue")).where("issue is not null").distinct().groupBy(*keys, "issue").agg(F.count(F.lit(1)).alias("n"))
+def headers(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """Time and rand in the header of each message that has one."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        time, rand = message.header_of(raw)
+        if time is not None:
+            yield time, rand
+
+    return flat_map(df, keys, data, "msg_time long, rand long", one)
+
+
+def field_lists(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """Bytes that are a list of fields without a record's mark: count, fields read, complete, issue and the names."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        r = record.fields_of(raw)
+        yield r.count, len(r.fields), r.complete, record.issue_of(r), [_safe(f.name) for f in r.fields]
+
+    return flat_map(df, keys, data, "count int, fields int, complete boolean, issue string, names array<string>", one)
+
+
+def record_issues(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """The issues of field lists counted per key, decode_error standing for rows that could not be read."""
+    issue = F.when(F.col("error").isNotNull(), "decode_error").otherwise(F.col("issue"))
+    return lists.select(*keys, issue.alias("issue")).where("issue is not null").groupBy(*keys, "issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def titles(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """The first lines that forwarded chats preview: pos, title."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for i, t in enumerate(t for e in message.elements(raw) for t in message.title_previews(e)):
+            yield i, _safe(t)
+
+    return flat_map(df, keys, data, "pos int, title string", one)
+
+
+def file_metas(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """Name, size, uuid and hash of the file elements of each message: pos, name, size, uuid, hash."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for i, e in enumerate(message.elements(raw)):
+            if e.type in (0x07, 0x11):
+                m = message.file_meta(e)
+                yield i, _safe(m["name"]), m["size"], m["uuid"], m["hash"]
+
+    return flat_map(df, keys, data, "pos int, name string, size long, uuid string, hash string", one)
+
+
+def embedded(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """References to media within the text runs of each message: pos, reference."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for i, r in enumerate(message.embedded_media(raw)):
+            yield i, _safe(r)
+
+    return flat_map(df, keys, data, "pos int, reference string", one)
 
 
 def index_paths(fields: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,7 +179,7 @@ def rendered(df: DataFrame, keys: list[str], data: str) -> DataFrame:
     """Plain text, nodes (JSON) and HTML of each message."""
 
     def one(raw: bytes) -> Iterator[tuple]:
-        text, nodes, html = message.render(raw)
+        text, nodes, html = show.render(raw)
         yield _safe(text), _safe(json.dumps(nodes, ensure_ascii=False)), _safe(html)
 
     return flat_map(df, keys, data, "plain_text string, rich_nodes string, rich_html string", one)
@@ -161,7 +214,7 @@ def forwarded_messages(df: DataFrame, keys: list[str], info: str) -> DataFrame:
     def one(raw: bytes) -> Iterator[tuple]:
         for i, m in enumerate(message.forwarded(raw)):
             t, r = message.header_of(m)
-            yield i, t, r, _safe(message.render(m)[0]), m
+            yield i, t, r, _safe(show.render(m)[0]), m
 
     return flat_map(df, keys, info, "item int, msg_time long, rand long, text string, content binary", one)
 

@@ -66,10 +66,13 @@ def quote_targets(quotes: DataFrame, messages: DataFrame) -> DataFrame:
     are reduced by partial aggregation, so a time that very many rows share does not gather anywhere.
     """
     m = messages.where("msg_time is not null").select("msg_table", F.col("msg_time").alias("quote_time"), F.regexp_replace(F.trim("sender_uin"), "^0+(?=.)", "").try_cast("long").alias("who"), F.col("rowid").alias("target")).distinct()
-    q = quotes.where("quote_time is not null").select("quote_id", "msg_table", "msg_rowid", "quote_time", "sender_uin").distinct()
-    found = q.join(m, ["msg_table", "quote_time"]).where("target <> msg_rowid").select("quote_id", F.struct((F.col("who").isNull() | F.col("sender_uin").isNull() | (F.col("who") != F.col("sender_uin"))).alias("other"), F.abs(F.col("target") - F.col("msg_rowid")).alias("far"), F.col("target")).alias("s"))
-    best = found.groupBy("quote_id").agg(F.min("s").alias("s"))
-    return best.select("quote_id", F.col("s.target").alias("target_rowid"), (~F.col("s.other")).alias("by_sender"))
+    q = quotes.where("quote_time is not null").select("quote_id", "msg_table", "msg_rowid", "quote_time", F.col("sender_uin").alias("who")).distinct()
+    nearest = F.min(F.struct(F.abs(F.col("target") - F.col("msg_rowid")).alias("far"), F.col("target"))).getField("target").alias("target_rowid")
+    with_sender = q.join(m, ["msg_table", "quote_time", "who"]).where("target <> msg_rowid").groupBy("quote_id").agg(nearest)
+    # only quotes that found none go on, to the rows of a second without regard to who wrote them
+    open_ = q.join(with_sender.select("quote_id"), "quote_id", "left_anti").drop("who")
+    without = open_.join(m.select("msg_table", "quote_time", "target").distinct(), ["msg_table", "quote_time"]).where("target <> msg_rowid").groupBy("quote_id").agg(nearest)
+    return with_sender.withColumn("by_sender", F.lit(True)).unionByName(without.withColumn("by_sender", F.lit(False)))
 
 
 def quotes_in_order(nodes: DataFrame, quotes: DataFrame) -> DataFrame:

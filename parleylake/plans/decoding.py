@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parleylake.decode import record, stores, tables
+from parleylake.decode import tables
 from parleylake.operators import audit
 from parleylake.plans.chat import Query
 from parleylake.runtime import new_path, table
@@ -29,36 +29,11 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_rows").select("sample_id", F.try_to_binary("msgcontent_hex", F.lit("hex")).alias("content"))
 
 
-def _made(spark: SparkSession, d: str) -> DataFrame:
-    """Messages encoded from chat texts: header, a text element, and a record with the text as keyed field."""
-
-    def build(text: str) -> bytes:
-        wide = text.encode("utf-16-le")[:60_000]
-        part = b"\x01" + len(wide).to_bytes(2, "little") + wide
-        name, value = record.key("strText".encode("utf-16-le")), record.key(wide)
-        rec = record.TD + (1).to_bytes(2, "little") + b"\x08" + len(name).to_bytes(2, "little") + name + len(value).to_bytes(4, "little") + value
-        return b"MSG" + bytes(17) + b"\x01" + len(part).to_bytes(2, "little") + part + rec
-
-    # few bytes, but much work each: without a number of its own the distinct texts would end in one task
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return table(spark, d, "messages").where("length(trim(text)) > 0").select("text").distinct().repartition(parts).withColumn("content", F.udf(build, "binary", useArrow=True)("text"))
-
-
 @query()
 def message_parse(spark: SparkSession, d: str) -> DataFrame:
     return tables.message_elements(_payloads(spark, d), ["sample_id"], "content")
 
 
-@query()
-def message_render(spark: SparkSession, d: str) -> DataFrame:
-    return tables.rendered(_made(spark, d), ["text"], "content")
-
-
-@query()
-def message_display(spark: SparkSession, d: str) -> DataFrame:
-    return tables.displayed(_made(spark, d), ["text"], "content").withColumn("styles", F.array_join(F.col("styles").cast("array<string>"), ","))
-
-
 @query()
 def context_tags(spark: SparkSession, d: str) -> DataFrame:
     return tables.context_tags(_payloads(spark, d), ["sample_id"], "content")
@@ -69,21 +44,6 @@ def text_runs(spark: SparkSession, d: str) -> DataFrame:
     return tables.text_runs(_payloads(spark, d), ["sample_id"], "content")
 
 
-@query()
-def record_issues(spark: SparkSession, d: str) -> DataFrame:
-    return tables.record_issues(tables.record_fields(_payloads(spark, d), ["sample_id"], "content"), ["sample_id"])
-
-
-@query()
-def info_fields(spark: SparkSession, d: str) -> DataFrame:
-    return tables.info_fields(_made(spark, d), ["text"], "content").withColumn("texts", F.array_join("texts", "|"))
-
-
-@query()
-def kv_decode(spark: SparkSession, d: str) -> DataFrame:
-    return tables.record_fields(_made(spark, d), ["text"], "content")
-
-
 @query()
 def proto_fields(spark: SparkSession, d: str) -> DataFrame:
     return tables.proto_fields(_payloads(spark, d), ["sample_id"], "content")
@@ -95,19 +55,6 @@ def byte_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.coverage_gaps(tables.coverage(_payloads(spark, d), ["sample_id"], "content"), key=["sample_id"], total="total")
 
 
-@query("select distinct text, text as back from messages where text <> ''")
-def lenkey_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    back = F.udf(lambda t: record.unkey(record.key(t.encode())).decode(), "string", useArrow=True)
-    return table(spark, d, "messages").where("text <> ''").select("text").distinct().withColumn("back", back("text"))
-
-
-@query("select distinct text, md5(text) as back from messages where text is not null")
-def hash48(spark: SparkSession, d: str) -> DataFrame:
-    """Digests written as file-name hashes and read back."""
-    there_and_back = F.udf(lambda h: stores.name_hash(stores.hash_name(bytes.fromhex(h)).lower()).hex(), "string", useArrow=True)
-    return table(spark, d, "messages").where("text is not null").select("text").distinct().withColumn("back", there_and_back(F.md5(F.encode("text", "UTF-8"))))
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.concat(F.when(F.col("event_id") % 3 == 0, "noise ").otherwise(""), F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.col("user_id").cast("string").alias("account"), F.lit("log").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("path"), F.get_json_object("props", "$.k").alias("key"), F.unix_timestamp("ts").alias("at")).alias("payload")))).alias("value"))

@@ -5,7 +5,7 @@ import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parleylake.decode import message, proto, record, stores, tables
+from parleylake.decode import message, proto, record, show, stores, tables
 
 
 def keyed(text):
@@ -100,7 +100,7 @@ def test_elements_and_gaps():
     gap = "间隙文字".encode("utf-16-le")
     data = HEADER + text_element("hello") + element(0x0E) + gap + text_element("再见")
     es = message.elements(data)
-    assert [e.type for e in es] == [1, 0x0E, 0, 1] and message.render(data)[0] == "hello间隙文字再见"
+    assert [e.type for e in es] == [1, 0x0E, 0, 1] and show.render(data)[0] == "hello间隙文字再见"
     assert message.header_of(data) == (1_500_000_000, 77)
     covered = sum(e.size for e in es)
     assert covered == len(data) - 20
@@ -109,7 +109,7 @@ def test_elements_and_gaps():
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=400))
 def test_anything_parses(data):
-    message.render(HEADER + data)
+    show.render(HEADER + data)
     record.find_records(data)
     proto.walk(data)
     proto.tagged(data)
@@ -119,10 +119,10 @@ def test_anything_parses(data):
 
 def test_media_and_cards():
     picture = element(3, (2, "UserDataImage:Group2\\ab\\x.JPG".encode("utf-16-le")))
-    assert message.elements(picture)[0].kind() == "image" and message.render(picture)[1][0]["candidates"] == ["UserDataImage:Group2\\ab\\x.JPG"]
+    assert message.elements(picture)[0].kind() == "image" and show.render(picture)[1][0]["candidates"] == ["UserDataImage:Group2\\ab\\x.JPG"]
     xml = "<?xml version='1.0'?><msg brief=\"卡片\" url='http://x.example/a'></msg>"
     card = element(0x14, (1, b"\x01" + zlib.compress(xml.encode())))
-    node = message.render(card)[1][0]
+    node = show.render(card)[1][0]
     assert node["text"] == "卡片" and node["href"] == "http://x.example/a"
     assert message.json_member('{"b":{"title":"deep"},"a":[{"title":"first"}]}', "title") == "first"
 
@@ -230,12 +230,13 @@ def test_labels_and_folding():
     es = message.elements(HEADER + text_element("@x") + text_element(" ") + quote + text_element("@y") + text_element(" ") + text_element("@y") + face + text_element("done"))
     assert message.quote_of(es[2]) == {"seq": 99, "sender": 7, "time": 5, "text": "quoted"}
     assert labels.folded(es) == {0, 1, 3, 4}
-    assert labels.with_suffixes(es, labels.folded(es))[-2:] == [f"@y{labels.face_text(es[6])}", "done"]
+    assert show.plain_of(es) == f"@y{labels.face_label(14)}done"
+    assert [n["type"] for n in show.nodes_of(es)] == ["quote", "mention", "text"]
     call = td((3, "wAvMsgType", b"\x01\x00"), (8, "bsMsgText", keyed("通话 01:10")))
-    assert labels.display(HEADER + call) == "通话 01:10"
+    assert show.display(HEADER + call) == "通话 01:10"
     index = td(*[(8, n, keyed("x")) for n in ("bStructMsgVersion", "arrMMTMsgIndex", "arrPackets")])
-    assert labels.display(HEADER + index) == labels.SHOWN["index"] or labels.unshown_label(message.elements(HEADER + index)) == labels.SHOWN["index"]
-    assert labels.status(message.elements(HEADER + text_element("a") + element(0x0E))) == ["rendered", "ignored"]
+    assert show.display(HEADER + index) == labels.SHOWN["index"] or labels.unshown_label(message.elements(HEADER + index)) == labels.SHOWN["index"]
+    assert show.status(message.elements(HEADER + text_element("a") + element(0x0E))) == ["rendered", "ignored"]
 
 
 def test_file_meta_titles_and_embedded_media():
@@ -246,4 +247,33 @@ def test_file_meta_titles_and_embedded_media():
     forward = message.elements(HEADER + ta(*[(8, keyed(f"line {i}")) for i in range(9)], (3, keyed("other"))))[0]
     assert message.title_previews(forward) == [f"line {i}" for i in range(6)]
     hidden = b"MSG" + bytes(17) + b"\xfe" + "UserDataImage:a.png".encode("utf-16-le") + bytes(4)
-    assert message.embedded_media(hidden[21:]) == ["UserDataImage:a.png"] and labels.display(hidden[21:]) in ("[图片]", "UserDataImage:a.png")
+    assert message.embedded_media(hidden[21:]) == ["UserDataImage:a.png"] and show.display(hidden[21:]) in ("[图片]", "UserDataImage:a.png")
+
+
+def test_nodes_of_each_kind():
+    inner = text_element("inside") + text_element("!")
+    data = HEADER + element(0x07, (0, b"\x00")) + element(0x0D, (1, "[emoji]".encode("utf-16-le"))) + element(0x0C, (1, "[微笑]".encode("utf-16-le"))) + element(0x1A, (1, b"\x00\x01"))
+    nodes = {n["type"] for n in show.render(data)[1]}
+    assert nodes >= {"emoji", "face"}
+    nested = show.render(HEADER + bytes([0x10]) + len(inner).to_bytes(2, "little") + inner)
+    assert nested[0] == "inside!" and nested[1][0]["type"] == "nested" and [c["text"] for c in nested[1][0]["children"]] == ["inside", "!"] and nested[2] == "<chat-nested>inside!</chat-nested>"
+    link = td((8, "strLinkHttp", keyed("http://a.example/x")))
+    e = bytes([1]) + len(link).to_bytes(2, "little") + link
+    assert show.render(HEADER + e)[1][0] == {"type": "rich", "text": "http://a.example/x", "href": "http://a.example/x"}
+    film = td((8, "strVideoFilePath", keyed("UserDataVideo:a.mp4")))
+    assert show.render(HEADER + bytes([0x10]) + len(film).to_bytes(2, "little") + film)[1][0]["type"] == "video"
+    bar = element(3, (2, "sysres:Misc\\BlueBar\\x.png".encode("utf-16-le")))
+    assert show.render(HEADER + bar + text_element("a"))[:2] == ("a", [{"type": "text", "text": "a"}]) and show.status(message.elements(HEADER + bar)) == ["ignored"]
+    chat = td((8, "title", keyed("群聊的聊天记录")), (8, "bsResId", keyed("res1")), (3, "dwMsgPackListSize", b"\x05\x00")) + ta((8, keyed("line one")))
+    n = show.render(HEADER + bytes([0x1E]) + len(chat).to_bytes(2, "little") + chat)[1][0]
+    assert (n["type"], n["text"], n["item_count"], n["expand_status"], [i["text"] for i in n["items"]]) == ("multi_msg", "群聊的聊天记录", 5, "external_mmp_required", ["line one"])
+
+
+def test_html_is_escaped():
+    picture = element(3, (2, 'UserDataImage:a"<b.png'.encode("utf-16-le")))
+    assert show.render(HEADER + text_element("a<b>&") + picture)[2] == 'a&lt;b&gt;&amp;<chat-image data-src="UserDataImage:a&quot;&lt;b.png" data-candidates="UserDataImage:a&quot;&lt;b.png">[图片]</chat-image>'
+
+
+def test_part_texts():
+    assert message.part_text(7, 1, "ok".encode("utf-16-le")) == "ok" and message.part_text(7, 1, b"plain ascii") == "plain ascii"
+    assert message.part_text(7, 1, bytes([0, 0xE1] * 8)) == "" and message.part_text(3, 1, "x.png".encode("utf-16-le")) == ""
