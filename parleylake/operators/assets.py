@@ -62,6 +62,12 @@ def digest_hits(refs: DataFrame, files: DataFrame) -> DataFrame:
     return have.join(wanted, "stem", "left_semi")
 
 
+def wanted_digests(refs: DataFrame) -> DataFrame:
+    """The digests that references to received pictures name (column md5): stems of 32 hex digits below the scheme's C2C folder."""
+    tail = F.lower(file_stem(file_name(F.col("reference"))))
+    return refs.where(F.col("reference").rlike(r"(?i)^UserDataImage:C2C[\\/]")).select(tail.alias("md5")).where(F.col("md5").rlike("^[0-9a-f]{32}$")).distinct()
+
+
 def content_digests(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Files (path, content) whose MD5 is among the wanted ones (column md5)."""
     return files.select("path", F.md5("content").alias("md5")).join(wanted.select(F.lower("md5").alias("md5")).distinct(), "md5", "left_semi")

@@ -150,11 +150,6 @@ def point_probe_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.probe_sample(table(spark, d, "messages"))
 
 
-@query()
-def random_probe_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.probe_sample(table(spark, d, "messages"), edge=0, points=0, random_points=8)
-
-
 @query(r"""with m as (select distinct msg_table, msg_time, try_cast(regexp_replace(trim(sender_uin), '^0+(.)', '\1') as bigint) as who, rowid from messages where msg_time is not null),
  c as (select q.quote_id, m.rowid as target, coalesce(m.who = q.sender_uin, false) as same, abs(m.rowid - q.msg_rowid) as far from (select distinct quote_id, msg_table, msg_rowid, quote_time, sender_uin from quote_refs) q
   join m on m.msg_table = q.msg_table and m.msg_time = q.quote_time and m.rowid <> q.msg_rowid)
@@ -389,7 +384,13 @@ def head_candidates(spark: SparkSession, d: str) -> DataFrame:
     return assets.head_candidates(table(spark, d, "member_profiles"), "acc").withColumn("candidates", F.array_join("candidates", "|"))
 
 
-@query()
+_NODE_OF = """with recursive u as (select match_id, msg_table, msg_rowid, rich_nodes as j from asset_matches where json_valid(rich_nodes) union all select match_id, msg_table, msg_rowid, json_extract_string(j, '$') from u where json_type(j) = 'VARCHAR' and json_valid(json_extract_string(j, '$'))),
+ n as (select distinct msg_table, msg_rowid, coalesce(nullif(ltrim(replace(regexp_replace(regexp_replace(json_tree.fullkey, '^\\$', ''), '\\[([0-9]+)\\]', '/\\1', 'g'), '.', '/'), '/'), ''), '$') as node_path from u, json_tree(cast(j as json)) where json_type(u.j) in ('OBJECT', 'ARRAY') and json_tree.type = 'OBJECT' and json_extract_string(json_tree.value, '$.type') = 'quote'),
+ a as (select *, row_number() over (partition by msg_table, msg_rowid order by list_transform(string_split(node_path, '/'), lambda x: case when regexp_matches(x, '^[0-9]+$') then lpad(x, 9, '0') else x end)) as k from n),
+ q as (select *, row_number() over (partition by msg_table, msg_rowid order by quote_id) as k from (select distinct msg_table, msg_rowid, quote_id from quote_refs))"""
+
+
+@query(_NODE_OF + " select a.msg_table, a.msg_rowid, a.k, a.node_path, q.quote_id from a join q on q.msg_table = a.msg_table and q.msg_rowid = a.msg_rowid and q.k = a.k")
 def quote_zip(spark: SparkSession, d: str) -> DataFrame:
     """Quote nodes of asset matches with the quotes of the same message, by position."""
     m = table(spark, d, "asset_matches").select(F.col("match_id").cast("string").alias("owner_key"), "msg_table", "msg_rowid").distinct()
@@ -397,10 +398,11 @@ def quote_zip(spark: SparkSession, d: str) -> DataFrame:
     return identity.quotes_in_order(nodes, table(spark, d, "quote_refs"))
 
 
-@query("select asset_id, case when is_deleted then 'deleted' when size_bytes is null then 'unsized' when size_bytes > 104857600 then 'large' else 'kept' end as status from asset_files")
+@query("select case when is_deleted then 'deleted' when size_bytes is null then 'unsized' else 'kept' end as status, count(*) as files, coalesce(sum(size_bytes), 0) as bytes from asset_files group by 1")
 def file_status(spark: SparkSession, d: str) -> DataFrame:
-    size = F.col("size_bytes")
-    return table(spark, d, "asset_files").select("asset_id", F.when(F.col("is_deleted"), "deleted").when(size.isNull(), "unsized").when(size > 100 * 2**20, "large").otherwise("kept").alias("status"))
+    """Listed files by status."""
+    status = F.when(F.col("is_deleted"), "deleted").when(F.col("size_bytes").isNull(), "unsized").otherwise("kept")
+    return table(spark, d, "asset_files").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
 @query("select count(*) as total, count_if(kind = 'local') as local, count_if(kind = 'local' and here) as alive, count_if(kind = 'local' and not here) as dead, count_if(kind = 'external') as external, count_if(kind = 'anchor') as anchor from (select case when starts_with(trim(link), '#') or trim(link) = '' then 'anchor' when regexp_matches(link, '(?i)^(https?:|mailto:|javascript:|data:|tel:|ftp:|about:|//)') then 'external' else 'local' end as kind, " + _KEY.format("link") + " in (select " + _KEY.format("path") + " from asset_files where not coalesce(is_deleted, false)) as here from (select unnest(candidate_paths) as link from asset_matches) where link is not null)")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parleylake.plans import chat, decoded, decoding, shaping
+from parleylake.plans import chat, decoded, decoding, functions, shaping
 
-QUERIES = {**chat.QUERIES, **decoding.QUERIES, **decoded.QUERIES, **shaping.QUERIES}
-SQL = {**chat.SQL, **decoding.SQL, **decoded.SQL, **shaping.SQL}
+QUERIES = {**chat.QUERIES, **decoding.QUERIES, **decoded.QUERIES, **functions.QUERIES, **shaping.QUERIES}
+SQL = {**chat.SQL, **decoding.SQL, **decoded.SQL, **functions.SQL, **shaping.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The first bytes that tell a database, a prefixed one and a compound file.
@@ -25,10 +25,28 @@ def header_kind(content: Column) -> Column:
     return F.when(h == SQLITE, "sqlite").when(F.startswith(h, F.lit(COMPOUND)), "ole_compound").when(F.hex(F.substring(content, 1025, 16)) == SQLITE, "prefixed_sqlite").otherwise(F.lower(h))
 
 
-def source_class(path: Column) -> Column:
-    """The kind of store a database belongs to, by the folder that holds it."""
-    folder = F.lower(F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -2))
-    return F.when(folder.rlike("^msg"), "messages").when(folder.rlike("info"), "info").when(folder.rlike("file"), "files").when(folder.rlike("registry"), "registry").otherwise("other")
+# The folders of an account that hold databases, and one beside the accounts, with the kind of client they belong to.
+ACCOUNT_FOLDERS = {"": "pcqq", "QQ": "pcqq", "Audio/AudioInfo": "pcqq", "MyCollection": "pcqq", "GroupCollection": "pcqq", "nt_qq/nt_db": "ntqq", "nt_qq/nt_data": "ntqq"}
+GLOBAL_FOLDER, GLOBAL_CLASS = "nt_qq/global/nt_db", "ntqq_global"
+
+
+def source_class(path: Column, account: str) -> Column:
+    """The kind of client a database belongs to, by the folder it lies in itself; null for any other folder."""
+    folder = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/[^/]*$", "")
+    kind = F.when(F.endswith(folder, F.lit(f"/{GLOBAL_FOLDER}")), GLOBAL_CLASS)
+    for f, c in ACCOUNT_FOLDERS.items():
+        kind = kind.when(F.endswith(folder, F.lit("/" + "/".join(x for x in (account, f) if x))), c)
+    return kind
+
+
+def in_discovery_order(found: DataFrame) -> DataFrame:
+    """Files (path, modified_unix) with their ``place``: newest first, then by path. A listing is metadata of one account."""
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("modified_unix"), "path")))
+
+
+def catalog_totals(entries: DataFrame) -> DataFrame:
+    """The records of all entries together, 0 for none, and the number of entries."""
+    return entries.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("sources"))
 
 
 def tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parleylake.functions.text import safe_file_name, tsv_cell
+from parleylake.runtime import put_text
 
 
 def write_csv(df: DataFrame, path: str, *, force: bool = False) -> None:
@@ -25,6 +26,16 @@ def export_tables(tables: dict[str, DataFrame], path: str, *, force: bool = Fals
     return done
 
 
+def export_database(tables: dict[str, DataFrame], path: str, *, force: bool = False) -> dict[str, str]:
+    """``export_tables`` with ``schema.sql``, a statement per table, and ``tables.txt``, what became of each."""
+    done = export_tables(tables, path, force=force)
+    column = lambda f: f"`{f.name}` {f.dataType.simpleString()}"
+    spark = next(iter(tables.values())).sparkSession
+    put_text(spark, f"{path}/schema.sql", "".join(f"create table `{n}` ({', '.join(map(column, df.schema))});\n" for n, df in tables.items()))
+    put_text(spark, f"{path}/tables.txt", "table\terror\n" + "".join(f"{n}\t{e}\n" for n, e in done.items()))
+    return done
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text with a header; tabs and line breaks in cells become spaces."""
     flat = df.select(*[tsv_cell(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
@@ -68,3 +79,14 @@ def with_file_names(streams: DataFrame, keys: list[str], stream: str = "stream")
     shared = named.groupBy(*keys, F.lower("_safe").alias("_low")).agg((F.count_distinct(stream) > 1).alias("_many"))
     j = named.withColumn("_low", F.lower("_safe")).join(shared, [*keys, "_low"])
     return j.withColumn("file_name", F.when(F.col("_many"), F.concat("_safe", F.lit("."), F.substring(F.sha2(stream, 256), 1, 12))).otherwise(F.col("_safe"))).drop("_safe", "_low", "_many")
+
+
+def database_report(title: str, tables: list[tuple]) -> str:
+    """A Markdown report of a database: (table, rows, columns, indexes, error) of each of its tables."""
+    return f"# {title}\n\n" + markdown(["table", "rows", "columns", "indexes", "error"], tables) + "\n"
+
+
+def rows_as_json(df: DataFrame, rowid: str) -> DataFrame:
+    """Each row as (rowid, row), the other columns as a JSON object; bytes as hex, null members are kept."""
+    shown = [F.lower(F.hex(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "binary" else F.col(f"`{f.name}`") for f in df.schema if f.name != rowid]
+    return df.select(F.col(rowid).alias("rowid"), F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("row"))

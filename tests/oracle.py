@@ -38,4 +38,5 @@ def differences(spark, query, sql):
     names = [c[0] for c in r.description]
     order = [names.index(c) for c in cols] if sorted(names) == cols else None
     theirs = sorted(tuple(plain(row[i]) for i in order) for row in r.fetchall()) if order is not None else []
-    return (cols, sorted(names)), [x for x in mine if x not in set(theirs)][:3] or (["count"] if len(mine) != len(theirs) else []), [x for x in theirs if x not in set(mine)][:3]
+    held, wanted = set(mine), set(theirs)
+    return (cols, sorted(names)), [x for x in mine if x not in wanted][:3] or (["count"] if len(mine) != len(theirs) else []), [x for x in theirs if x not in held][:3]
