@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleylake.runtime import materialise
+from parleylake.runtime import materialise, parts_for
 
 # What code page 1252 shows for the bytes 0x80 to 0x9F it defines; the other bytes show as themselves.
 CP1252 = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -48,68 +50,93 @@ def _decode(b: bytes, wrong: str) -> str:
     return "".join(chr(x) if x < 0x80 or x >= 0xA0 or x in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([x]).decode("cp1252") for x in b) if wrong == "west" else b.decode(wrong, "replace")
 
 
-def _pieces(s: str, wrong: str) -> Iterator[tuple[str, bytes | None]]:
-    """The string cut into longest pieces that the wrong encoding can write, and the rest."""
-    while s:
-        try:
-            yield s, _encode(s, wrong)
-            return
-        except UnicodeEncodeError as e:
-            if e.start:
-                head = s[: e.start]
-                yield head, _encode(head, wrong)
-            yield s[e.start : e.end], None
-            s = s[e.end :]
+_LOST: list[str] = []
 
 
-def undo(run: str, right: str, wrong: str, written: dict[tuple[str, str], list[tuple[str, bytes | None]]] | None = None) -> tuple[str, bool]:
+def _mark(e: UnicodeError) -> tuple[str, int]:
+    """Writes a zero for each run of characters that an encoding lacks, and keeps them."""
+    _LOST.append(e.object[e.start : e.end])
+    return "\0", e.end
+
+
+codecs.register_error("parleylake-mark", _mark)
+
+
+@dataclass
+class Written:
+    """What a wrong encoding writes of a run: its bytes with a zero for every stretch it lacks, and these stretches."""
+
+    raw: bytes
+    lost: list[str]
+    pieces: list[tuple[str, bytes]] | None = None  # stretches it writes, once they are needed one by one
+
+    def joined(self, text: str) -> str:
+        """A text decoded from the bytes, with the stretches in place of the zeros."""
+        if not self.lost:
+            return text
+        parts = text.split("\0")
+        return "".join(x for pair in zip(parts, [*self.lost, ""]) for x in pair)
+
+    def cut(self, run: str) -> list[tuple[str, bytes]]:
+        if self.pieces is None:
+            rest, texts = run, []
+            for x in self.lost:
+                head, _, rest = rest.partition(x)
+                texts.append(head)
+            self.pieces = list(zip([*texts, rest], self.raw.split(b"\0")))
+        return self.pieces
+
+
+def write(run: str, wrong: str) -> Written:
+    _LOST.clear()
+    raw = (run.translate(CP1252).encode("latin-1", "parleylake-mark") if wrong == "west" else run.encode(wrong, "parleylake-mark")) if "\0" not in run else b"\0"
+    return Written(raw, [run] if "\0" in run else _LOST.copy())
+
+
+def undo(run: str, right: str, wrong: str, w: Written | None = None) -> tuple[str, bool]:
     """The run with the chain undone wherever its bytes allow, and whether they fit throughout, as chance rarely has it.
 
-    ``written`` keeps what a wrong encoding makes of a run, since several chains share it.
+    ``w`` is what the wrong encoding writes of the run, since several chains share it.
     """
     if wrong == "utf-16-be":
         high = [c for c in run if ord(c) > 0x7F]
         if not high or any(ord(c) & 0xFF and ord(c) > 0xFF for c in high) or not any(ord(c) > 0xFF for c in high):
             return run, False
         return "".join(chr(ord(c) >> 8) if ord(c) > 0xFF else c for c in run), len(high) > 2
-    pieces = written.get((run, wrong)) if written is not None else None
-    if pieces is None:
-        pieces = list(_pieces(run, wrong))
-        if written is not None:
-            written[(run, wrong)] = pieces
-    if right == "utf-8" and not any(raw is not None and UTF8.search(raw) for _, raw in pieces):
-        return run, False
-    out, sure, some = [], True, False
-    for piece, raw in pieces:
-        if raw is None or not HIGH.search(piece):
-            out.append(piece)
-            sure = sure and (raw is not None or piece == "�")
-            continue
-        if right == "utf-8":
-            at, changed = 0, False
-            for m in UTF8.finditer(raw):
-                if m.start() > at:
-                    out.append(_decode(raw[at : m.start()], wrong))
-                    sure = sure and max(raw[at : m.start()]) < 0x80
-                out.append(m.group().decode("utf-8"))
-                at, changed = m.end(), True
-            if at < len(raw):
-                out.append(_decode(raw[at:], wrong))
-                sure = sure and max(raw[at:]) < 0x80
-            some = some or changed
-        else:
-            sure = False
-            for end in (len(raw), len(raw) - 1):
+    w = w or write(run, wrong)
+    raw = w.raw
+    if right == "utf-8":
+        out, at, sure = [], 0, all(x.strip("�") == "" for x in w.lost)
+        for m in UTF8.finditer(raw):
+            if m.start() > at:
+                out.append(_decode(raw[at : m.start()], wrong))
+                sure = sure and raw[at : m.start()].isascii()
+            out.append(m.group().decode("utf-8"))
+            at = m.end()
+        if not out:
+            return run, False
+        if at < len(raw):
+            out.append(_decode(raw[at:], wrong))
+            sure = sure and raw[at:].isascii()
+        text = w.joined("".join(out))
+        return (text, sure) if text != run else (run, False)
+    try:
+        text = w.joined(raw.decode(right))
+    except UnicodeDecodeError:
+        # stretch by stretch, the last byte of each may have been cut off
+        out, some = [], False
+        for piece, part in w.cut(run):
+            for end in (len(part), len(part) - 1) if HIGH.search(piece) else ():
                 try:
-                    out.append(raw[:end].decode(right) + ("" if end == len(raw) else _decode(raw[end:], wrong)))
+                    out.append(part[:end].decode(right) + ("" if end == len(part) else _decode(part[end:], wrong)))
                     some = True
                     break
-                except (UnicodeDecodeError, IndexError):
+                except UnicodeDecodeError:
                     continue
             else:
                 out.append(piece)
-    text = "".join(out)
-    return (text, sure and some) if some and text != run else (run, False)
+        text = "".join(x for pair in zip(out, [*w.lost, ""]) for x in pair) if some else run
+    return text, False
 
 
 def _repertoire(wrong: str) -> frozenset[str] | None:
@@ -123,26 +150,37 @@ def _repertoire(wrong: str) -> frozenset[str] | None:
 SHOWN = {w: _repertoire(w) for _, w, _ in CHAINS}
 
 
-@lru_cache(maxsize=50_000)
+#: The chains by wrong encoding, as what it writes of a run serves all of them.
+BY_WRONG: dict[str, list[tuple[int, str, int]]] = {}
+for _c, (_right, _wrong, _times) in enumerate(CHAINS):
+    BY_WRONG.setdefault(_wrong, []).append((_c, _right, _times))
+
+
+@lru_cache(maxsize=100_000)
 def undone_by(run: str) -> tuple[tuple[int, str, bool], ...]:
     """(chain, restored run, sure) of every chain that can be undone in a run; many strings share their runs."""
     high = set(HIGH.findall(run))
     east = any(c >= "\u2e80" for c in high)
-    found, written = [], {}
-    for c, (right, wrong, times) in enumerate(CHAINS):
+    found: list[tuple[int, str, bool]] = []
+    for wrong, chains in BY_WRONG.items():
         # a wrong multi-byte decoding shows East Asian characters, a single-byte one its own
         if not (east if SHOWN[wrong] is None else high & SHOWN[wrong]) and wrong != "utf-16-be":
             continue
-        new, sure = run, True
-        for _ in range(times):
-            step, s = undo(new, right, wrong, written)
-            if step == new:
-                new = run
-                break
-            new, sure = step, sure and s
-        if new != run:
-            found.append((c, new, sure))
-    return tuple(found)
+        w = write(run, wrong) if wrong != "utf-16-be" else None
+        wide = w is not None and UTF8.search(w.raw) is not None
+        for c, right, times in chains:
+            if right == "utf-8" and not wide:
+                continue
+            new, sure = run, True
+            for _ in range(times):
+                step, s = undo(new, right, wrong, w if new is run else None)
+                if step == new:
+                    new = run
+                    break
+                new, sure = step, sure and s
+            if new != run:
+                found.append((c, new, sure))
+    return tuple(sorted(found))
 
 
 def undone_runs(text: str) -> tuple[list[str], dict[int, dict[int, tuple[str, bool]]]]:
@@ -196,18 +234,17 @@ class Model:
 
 def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, hashed pairs with the character before, and the number of characters of each text."""
-    size = np.array([len(t) + 1 for t in texts])
+    size = np.array([len(t) + 1 for t in texts], np.int64)
     codes = np.frombuffer("".join("\n" + t for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     pair = np.zeros(len(codes), np.int64)
     pair[1:] = ((codes[:-1] * 0x9E3779B1 + codes[1:] * 0x85EBCA6B) >> 7) & (BI - 1)
     return codes & (UNI - 1), pair, size
 
 
-def log_likelihood(texts: list[str], m: Model) -> np.ndarray:
+def slot_likelihood(codes: np.ndarray, pair: np.ndarray, size: np.ndarray, m: Model) -> np.ndarray:
     """Half of the log probability by single characters and half of that by pairs, summed over each text."""
-    if not texts:
+    if not len(size):
         return np.zeros(0)
-    codes, pair, size = _slots(texts)
     before = np.zeros(len(codes), np.int64)
     before[1:] = codes[:-1]
     p = (m.bi[pair] + 2.0 * m.p_uni[codes]) / (m.uni[before] + 2.0)
@@ -217,161 +254,268 @@ def log_likelihood(texts: list[str], m: Model) -> np.ndarray:
     return np.add.reduceat(score, starts)
 
 
-CANDIDATES = "field string, text string, n long, chains array<int>, restored array<string>, sure array<boolean>, run_chains array<int>, run_places array<int>, run_texts array<string>, run_sure array<boolean>"
-_LISTS = [pa.list_(t) for t in (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.bool_())]
+def log_likelihood(texts: list[str], m: Model) -> np.ndarray:
+    return slot_likelihood(*_slots(texts), m)
+
+
 #: So much likelier (log) a run must be as it is to stay so beside runs that are undone: mostly a string was garbled as a whole.
 STAYS = 2.0
+BLOCK = "block binary"
 
 
-def _with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols: list[list] = [[] for _ in _LISTS]
-        for t in b.column(1).to_pylist():
-            known = undone_runs(t)
-            found = candidates(t, known)
-            # where a chain fits one run only there is no choice
-            single = [(c, i, new, sure) for c, undone in known[1].items() if len(undone) > 1 for i, (new, sure) in undone.items()]
-            for k in range(3):
-                cols[k].append([x[k] for x in found])
-            for k in range(4):
-                cols[3 + k].append([x[k] for x in single])
-        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, t) for c, t in zip(cols, _LISTS)]], names=[x.split()[0] for x in CANDIDATES.split(", ")])
-
-
-def chosen_runs(texts: list[str], single: list[list[tuple[int, int, str, bool]]], m: Model) -> list[list[tuple[int, str, bool]]]:
-    """For each text and chain the version with the likeliest set of runs undone, where that is some but not all.
-
-    Separators stay as they are and likelihood sees no further than the character before, so each run can be weighed by
-    itself: every subset is weighed by as many steps as there are runs.
-    """
-    split = [CUT.split(t) if s else [] for t, s in zip(texts, single)]
-    around = [(r[i - 1][-1:] if i else "", r[i], r[i + 1][:1] if i + 1 < len(r) else "", new) for r, s in zip(split, single) for _, i, new, _ in s]
-    gain = log_likelihood([a + new + z for a, _, z, new in around], m) - log_likelihood([a + old + z for a, old, z, _ in around], m)
-    out: list[list[tuple[int, str, bool]]] = []
-    at = 0
-    for runs, s in zip(split, single):
-        chains: dict[int, list[tuple[float, int, str, bool]]] = {}
-        for k, (c, i, new, sure) in enumerate(s):
-            chains.setdefault(c, []).append((float(gain[at + k]), i, new, sure))
-        at += len(s)
-        made = []
-        for c, options in chains.items():
-            taken = {i: (new, sure) for g, i, new, sure in options if g > -STAYS}
-            if len(taken) < len(options) and any(g > 0 for g, *_ in options):
-                made.append((c, "".join(taken[i][0] if i in taken else r for i, r in enumerate(runs)), any(x for _, x in taken.values())))
-        out.append(made)
-    return out
-
-
-def posteriors(b: pa.RecordBatch, m: Model | None, fields: dict[str, int]) -> Iterator[tuple[int, list[int], list[str], list[bool], np.ndarray]]:
-    """(row, chains, versions, which are sure, their posterior) for each row of a batch of candidates; the string itself comes first.
-
-    Without a model the evidence is structural: bytes that fit a chain throughout.
+@dataclass
+class Block:
+    """Some strings with all ways to undo chains in them, in flat arrays, so that a round of the algorithm has no loop over strings.
+
+    An option is a run of a string with a chain undone; ``gain`` of an option is how much likelier the string gets by it.
+    Separators stay as they are and likelihood sees no further than the character before, so runs can be weighed one by
+    one and a version's gain is the sum of its options'. Options whose runs and neighbours agree share an entry of ``pairs``.
     """
-    texts, names = b.column(1).to_pylist(), b.column(0).to_pylist()
-    # a replacement character is what no right decoding leaves: the text lost bytes
-    chains = [[LOST if "�" in t else IDENTITY, *c] for t, c in zip(texts, b.column(3).to_pylist())]
-    versions = [[t, *v] for t, v in zip(texts, b.column(4).to_pylist())]
-    sure = [[False, *x] for x in b.column(5).to_pylist()]
-    if m is not None:
-        single = [list(zip(*x)) for x in zip(*[b.column(k).to_pylist() for k in range(6, 10)])]
-        for i, made in enumerate(chosen_runs(texts, single, m)):
-            for c, v, known in made:
-                if not any(c == x and v == y for x, y in zip(chains[i], versions[i])):
-                    chains[i].append(c)
-                    versions[i].append(v)
-                    sure[i].append(known)
-    several = [i for i, c in enumerate(chains) if len(c) > 1]
-    if m is not None:
-        flat = log_likelihood([v for i in several for v in versions[i]], m)
-    at = 0
-    for i, c in enumerate(chains):
-        n = len(c)
-        if n == 1:
-            p = np.ones(1)
-        elif m is None:
-            p = np.where(sure[i], 1.0, 0.5 / n)
-            p[0] = 0.02 if any(sure[i]) else 1.0
-        else:
-            chain = np.array(c)
-            each = np.bincount(chain, minlength=N_CHAINS)[chain]
-            s = flat[at : at + n] + m.log_prior[fields.get(names[i], 0)][np.where(chain == LOST, IDENTITY, chain)] - np.log(each)
-            p = np.exp(s - s.max())
-            at += n
-        yield i, c, versions[i], sure[i], p / p.sum()
+
+    fields: list[str]
+    texts: list[str]
+    n: np.ndarray
+    lost: np.ndarray  # strings with replacement characters
+    whole: tuple[np.ndarray, np.ndarray, np.ndarray]  # slots of the strings as they are
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # slots of runs with their neighbours, as they are and undone in turn
+    of_group: np.ndarray  # group of each option
+    of_pair: np.ndarray
+    place: np.ndarray  # run of each option within its string
+    new: list[str]
+    sure: np.ndarray
+    mark: np.ndarray  # a random number of each option, whose sums tell sets of options apart
+    string: np.ndarray  # of each group, which is a string with a chain
+    chain: np.ndarray
+    v_group: np.ndarray  # of each version that needs no model
+    v_mark: np.ndarray
+    v_sure: np.ndarray
+    m_version: np.ndarray  # its options
+    m_option: np.ndarray
+
+
+def block_of(fields: list[str], texts: list[str], n: list[int]) -> Block:
+    """The block of some distinct strings."""
+    pair_at: dict[tuple[str, str, str, str], int] = {}
+    around: list[str] = []
+    of_group, of_pair, place, new, sure, string, chain = [], [], [], [], [], [], []
+    v_group, v_sure, m_version, m_option = [], [], [], []
+    for i, t in enumerate(texts):
+        runs, by_chain = undone_runs(t)
+        for c in sorted(by_chain):
+            g = len(string)
+            string.append(i)
+            chain.append(c)
+            first = len(new)
+            options = by_chain[c]
+            for k, (text, known) in options.items():
+                key = (runs[k - 1][-1:] if k else "", runs[k], runs[k + 1][:1] if k + 1 < len(runs) else "", text)
+                at = pair_at.get(key)
+                if at is None:
+                    at = pair_at[key] = len(around) // 2
+                    around += [key[0] + key[1] + key[2], key[0] + text + key[2]]
+                of_group.append(g)
+                of_pair.append(at)
+                place.append(k)
+                new.append(text)
+                sure.append(known)
+            size = len(options)
+            sets = [range(size)]
+            if size > 1:
+                sets.append([k for k in range(size) if sure[first + k]])
+                if SHOWN[CHAINS[c][1]] is None:  # these write all of what was put before or behind in the right script
+                    sets += [range(1, size), range(size - 1), [0], [size - 1]]
+            for chosen in dict.fromkeys(tuple(x) for x in sets if len(x)):
+                m_version += [len(v_group)] * len(chosen)
+                m_option += [first + k for k in chosen]
+                v_group.append(g)
+                v_sure.append(any(sure[first + k] for k in chosen))
+    mark = np.random.default_rng(1).integers(-(2**62), 2**62, len(new))
+    m_version, m_option = np.array(m_version, np.int64), np.array(m_option, np.int64)
+    v_mark = np.zeros(len(v_group), np.int64)
+    np.add.at(v_mark, m_version, mark[m_option])
+    ints = lambda x: np.array(x, np.int64)
+    return Block(fields, texts, np.array(n, float), np.array(["�" in t for t in texts], bool), _slots(texts), _slots(around), ints(of_group), ints(of_pair), ints(place), new, np.array(sure, bool), mark, ints(string), ints(chain), ints(v_group), v_mark, np.array(v_sure, bool), m_version, m_option)
+
+
+@dataclass
+class Versions:
+    """All versions of a block's strings with their posterior: first each string as it is, then those of ``Block``, then chosen sets."""
+
+    string: np.ndarray
+    chain: np.ndarray
+    sure: np.ndarray
+    p: np.ndarray
+    taken: np.ndarray  # options that a chosen set takes
+    static: int
+    group: np.ndarray
+
+    def text(self, b: Block, v: int) -> str:
+        """The text of a version."""
+        if v < len(b.texts):
+            return b.texts[v]
+        k = v - len(b.texts)
+        options = b.m_option[b.m_version == k] if k < self.static else np.flatnonzero(self.taken & (b.of_group == self.group[v]))
+        runs = CUT.split(b.texts[self.string[v]])
+        for o in options:
+            runs[b.place[o]] = b.new[o]
+        return "".join(runs)
+
+
+def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
+    """The posteriors of a block. Without a model the evidence is structural: bytes that fit a chain throughout."""
+    k, groups = len(b.texts), len(b.string)
+    group, sure = b.v_group, b.v_sure
+    score = np.zeros(len(group))
+    taken = np.zeros(len(b.new), bool)
+    if m is not None and len(b.new):
+        each = slot_likelihood(*b.pairs, m)
+        gain = (each[1::2] - each[::2])[b.of_pair]
+        score = np.bincount(b.m_version, gain[b.m_option], len(group))
+        # of each chain the likeliest set of runs, where that is some but not all and no version yet
+        taken = gain > -STAYS
+        some, all_ = np.bincount(b.of_group, taken, groups), np.bincount(b.of_group, minlength=groups)
+        better = np.bincount(b.of_group, gain > 0, groups) > 0
+        marks = np.zeros(groups, np.int64)
+        np.add.at(marks, b.of_group[taken], b.mark[taken])
+        made = (some < all_) & better
+        known = set(zip(group.tolist(), b.v_mark.tolist()))
+        made[[g for g in np.flatnonzero(made).tolist() if (g, int(marks[g])) in known]] = False
+        at = np.flatnonzero(made)
+        taken &= made[b.of_group]
+        group = np.concatenate([group, at])
+        score = np.concatenate([score, np.bincount(b.of_group[taken], gain[taken], groups)[at]])
+        sure = np.concatenate([sure, (np.bincount(b.of_group[taken & b.sure], minlength=groups) > 0)[at]])
+    string = np.concatenate([np.arange(k), b.string[group]])
+    chain = np.concatenate([np.where(b.lost, LOST, IDENTITY), b.chain[group]])
+    sure = np.concatenate([np.zeros(k, bool), sure])
+    count = np.bincount(string, minlength=k)
+    if m is None:
+        any_sure = np.bincount(string, sure, k) > 0
+        p = np.where(sure, 1.0, 0.5 / count[string])
+        p[:k] = np.where(any_sure, 0.02, 1.0)
+    else:
+        alike = np.bincount(string * N_CHAINS + chain, minlength=k * N_CHAINS)[string * N_CHAINS + chain]
+        code = np.array([fields.get(f, 0) for f in b.fields], np.int64)
+        s = np.concatenate([np.zeros(k), score]) + m.log_prior[code[string], np.where(chain == LOST, IDENTITY, chain)] - np.log(alike)
+        top = np.full(k, -np.inf)
+        np.maximum.at(top, string, s)
+        p = np.exp(s - top[string])
+    p /= np.bincount(string, p, k)[string]
+    return Versions(string, chain, sure, p, taken, len(b.v_group), np.concatenate([np.full(k, -1), group]))
+
+
+def _with_blocks(batches: Iterator[pa.RecordBatch], most_chars: int = 400_000) -> Iterator[pa.RecordBatch]:
+    def packed(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block_of(*map(list, zip(*rows))), 5)], pa.binary())], names=["block"])
+
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(3))):
+            rows.append(row)
+            size += len(row[1]) + 20
+            if size >= most_chars:
+                yield packed(rows)
+                rows, size = [], 0
+    if rows:
+        yield packed(rows)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for b in batches:
+        for x in b.column(0):
+            yield pickle.loads(x.as_buffer())  # noqa: S301
 
 
 def _expect(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.RecordBatch]:
-    """Expected counts of one task: (kind, slot, weight) with kind 0 characters, 1 pairs, 2 chains by field.
+    """Expected counts of one task: (kind, slot, weight) with kind 0 characters, 1 pairs, 2 chains by field, 3 the expectation itself.
 
     Characters are learned from strings as they are and from restorations whose bytes fit throughout. Others have to
     be supported by these: if they supported each other, a chain could explain everything by rare characters.
     """
     m: Model | None = sent.value[0]
     names: dict[str, int] = sent.value[1]
-    uni, bi, pri = np.zeros(UNI), np.zeros(BI), np.zeros((len(names) + 1, N_CHAINS))
-    for b in batches:
-        ns, fs = b.column(2).to_pylist(), b.column(0).to_pylist()
-        out, w = [], []
-        for i, chains, versions, sure, p in posteriors(b, m, names):
-            n, f = float(ns[i]), names.get(fs[i], 0)
-            for k, c in enumerate(chains):
-                pri[f, c] += n * p[k]
-                if p[k] > 1e-3 and (c == IDENTITY or sure[k]):
-                    out.append(versions[k])
-                    w.append(p[k] * np.log1p(n))  # many copies of one text say little about others
-        if out:
-            codes, pair, size = _slots(out)
-            weight = np.repeat(w, size)
-            uni += np.bincount(codes, weight, UNI)
-            weight[np.cumsum(size) - size] = 0
-            bi += np.bincount(pair, weight, BI)
-    for kind, a in enumerate((uni, bi, pri.ravel())):
+    uni, bi, pri, garbled = np.zeros(UNI), np.zeros(BI), np.zeros((len(names) + 1) * N_CHAINS), 0.0
+
+    def count(slots: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray) -> None:
+        nonlocal uni, bi
+        codes, pair, size = slots
+        weight = np.repeat(w, size)
+        uni += np.bincount(codes, weight, UNI)
+        weight[np.cumsum(size) - size] = 0
+        bi += np.bincount(pair, weight, BI)
+
+    for b in _blocks(batches):
+        v = versions_of(b, m, names)
+        k = len(b.texts)
+        code = np.array([names.get(f, 0) for f in b.fields], np.int64)
+        pri += np.bincount(code[v.string] * N_CHAINS + v.chain, b.n[v.string] * v.p, len(pri))
+        share = np.log1p(b.n)  # many copies of one text say little about others
+        count(b.whole, np.where(b.lost | (v.p[:k] <= 1e-3), 0.0, v.p[:k] * share))
+        more = np.flatnonzero(v.sure & (v.p > 1e-3))
+        if len(more):
+            count(_slots([v.text(b, int(x)) for x in more]), v.p[more] * share[v.string[more]])
+        garbled += float((b.n * (1 - v.p[:k])).sum())
+    for kind, a in enumerate((uni, bi, pri, np.array([garbled]))):
         at = np.flatnonzero(a)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(a[at])], names=["kind", "slot", "weight"])
 
 
-def learn(versions: DataFrame, *, rounds: int = 4, most_fields: int = 2000) -> Model:
-    """Fit the model to a table of candidates by expectation-maximization.
+def learn(blocks: DataFrame, fields: DataFrame, *, most_rounds: int = 12, settled: float = 0.01, most_fields: int = 100_000) -> Model:
+    """Fit the model to a table of blocks by expectation-maximization, until the expected number of garbled strings is settled.
 
-    ``field`` names source and field, whose chain weights are shared by all their records; the ``most_fields`` with the
-    most strings have weights of their own, the rest share one pool. Statistics live in fixed tables of 2^17 characters
-    and 2^18 hashed pairs, which is all that reaches the driver, whatever the data's size.
+    ``field`` names source and field, whose chain weights are shared by all their records; field names are metadata, more
+    than ``most_fields`` raise an error. A round is the last if it changes the expected number of garbled strings by at
+    most the share ``settled``, or is round ``most_rounds``. Statistics live in fixed tables of 2^17 characters and 2^18
+    hashed pairs, which with the fields' weights is all that reaches the driver, whatever the data's size.
     """
-    spark = versions.sparkSession
-    top = versions.groupBy("field").agg(F.sum("n").alias("n")).where("field is not null").orderBy(F.desc("n"), "field").limit(most_fields).collect()
-    names = {r["field"]: i + 1 for i, r in enumerate(top)}
+    spark = blocks.sparkSession
+    listed = fields.distinct().limit(most_fields + 1).collect()
+    if len(listed) > most_fields:
+        raise ValueError(f"there are more than {most_fields} fields")
+    names = {f: i + 1 for i, f in enumerate(sorted(r[0] for r in listed))}
     model: Model | None = None
-    for _ in range(rounds):
+    before = None
+    for done in range(1, most_rounds + 1):
         sent = spark.sparkContext.broadcast((model, names))
-        made = versions.mapInArrow(lambda b, sent=sent: _expect(b, sent), "kind int, slot long, weight double").groupBy("kind", "slot").agg(F.sum("weight").alias("weight")).toArrow()
+        made = blocks.mapInArrow(lambda b, sent=sent: _expect(b, sent), "kind int, slot long, weight double").groupBy("kind", "slot").agg(F.sum("weight").alias("weight")).toArrow()
         kind, slot, weight = (made.column(c).to_numpy() for c in ("kind", "slot", "weight"))
         model = Model(fields=names, priors=np.zeros((len(names) + 1, N_CHAINS)))
         for k, a in enumerate((model.uni, model.bi, model.priors.reshape(-1))):
             a[slot[kind == k]] = weight[kind == k]
         model.prepared()
+        sent.destroy()
+        garbled = float(weight[kind == 3].sum())
+        # the first round has no model, and the second is the first to weigh sets of runs
+        if done > 3 and abs(garbled - before) <= settled * max(garbled, 1.0):
+            break
+        before = garbled
     return model
 
 
 def _judge(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.RecordBatch]:
     """The garbled strings of a task with their best restoration."""
     m: Model = sent.value
-    for b in batches:
+    for b in _blocks(batches):
+        v = versions_of(b, m, m.fields)
+        k = len(b.texts)
+        hit = np.flatnonzero(b.lost | (v.p[:k] < 0.5))
+        if not len(hit):
+            continue
+        # the likeliest version of each string, the first of equals
+        order = np.lexsort([np.arange(len(v.p)), -v.p, v.string])
+        best = np.zeros(k, np.int64)
+        best[v.string[order][::-1]] = order[::-1]
         rows = []
-        for i, chains, versions, _, p in posteriors(b, m, m.fields):
-            lost = chains[0] == LOST
-            if lost or p[0] < 0.5:
-                best = int(np.argmax(p))
-                name = "lost" if chains[best] == LOST else " ".join(map(str, CHAINS[chains[best]]))
-                rows.append((i, versions[best] if best else None, name, float(p[best]) if lost else float(1 - p[0])))
-        if rows:
-            at, restored, chain, posterior = zip(*rows)
-            kept = b.select([0, 1]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(restored, pa.string()), pa.array(chain), pa.array(posterior)], names=["field", "text", "restored", "chain", "posterior"])
-
-
-def repair_garbled(strings: DataFrame, *, keys: list[str], rounds: int = 4) -> DataFrame:
+        for i in hit.tolist():
+            x = int(best[i])
+            chain = int(v.chain[x])
+            name = "lost" if chain in (LOST, IDENTITY) else " ".join(map(str, CHAINS[chain]))
+            rows.append((b.fields[i], b.texts[i], v.text(b, x) if x >= k else None, name, float(v.p[x]) if b.lost[i] else float(1 - v.p[i])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] * 4 + [pa.float64()])], names=["field", "text", "restored", "chain", "posterior"])
+
+
+def repair_garbled(strings: DataFrame, *, keys: list[str], most_rounds: int = 12) -> DataFrame:
     """The garbled ones of the strings (``keys``, field, text): keys, text, restored, chain, posterior.
 
     All ways to undo an encoding chain are written down once per distinct string of a field; expectation-maximization
@@ -385,10 +529,10 @@ def repair_garbled(strings: DataFrame, *, keys: list[str], rounds: int = 4) -> D
     named = strings.select(*keys, F.coalesce("field", F.lit("")).alias("field"), "text").where("text is not null and text <> ''")
     counted = named.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
     # few bytes, but much work each: the number of tasks is set, lest they be put together
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    versions = materialise(counted.repartition(parts, "text").mapInArrow(_with_candidates, CANDIDATES), "versions")
-    sent = spark.sparkContext.broadcast(learn(versions, rounds=rounds))
-    garbled = versions.mapInArrow(lambda b: _judge(b, sent), "field string, text string, restored string, chain string, posterior double")
+    parts = max(parts_for(strings), 2 * spark.sparkContext.defaultParallelism)
+    blocks = materialise(counted.repartition(parts, "text").mapInArrow(_with_blocks, BLOCK), "versions")
+    sent = spark.sparkContext.broadcast(learn(blocks, named.select("field"), most_rounds=most_rounds))
+    garbled = blocks.mapInArrow(lambda b: _judge(b, sent), "field string, text string, restored string, chain string, posterior double")
     return named.join(garbled, ["field", "text"]).select(*keys, "text", "restored", "chain", "posterior")
 
 
