@@ -232,13 +232,19 @@ class Model:
         return self
 
 
+def _pair(codes: np.ndarray) -> np.ndarray:
+    """Hashed pairs of each character with the one before."""
+    pair = np.zeros(len(codes), np.int64)
+    pair[1:] = ((codes[:-1] * 0x9E3779B1 + codes[1:] * 0x85EBCA6B) >> 7) & (BI - 1)
+    return pair
+
+
 def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, hashed pairs with the character before, and the number of characters of each text."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
     codes = np.frombuffer("".join("\n" + t for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    pair = np.zeros(len(codes), np.int64)
-    pair[1:] = ((codes[:-1] * 0x9E3779B1 + codes[1:] * 0x85EBCA6B) >> 7) & (BI - 1)
-    return codes & (UNI - 1), pair, size
+    codes &= UNI - 1
+    return codes, _pair(codes), size
 
 
 def slot_likelihood(codes: np.ndarray, pair: np.ndarray, size: np.ndarray, m: Model) -> np.ndarray:
@@ -269,21 +275,19 @@ class Block:
 
     An option is a run of a string with a chain undone; ``gain`` of an option is how much likelier the string gets by it.
     Separators stay as they are and likelihood sees no further than the character before, so runs can be weighed one by
-    one and a version's gain is the sum of its options'. Options whose runs and neighbours agree share an entry of ``pairs``.
+    one and a version's gain is the sum of its options'. Options whose runs and neighbours agree share an entry of ``around``.
     """
 
     fields: list[str]
     texts: list[str]
     n: np.ndarray
-    lost: np.ndarray  # strings with replacement characters
-    whole: tuple[np.ndarray, np.ndarray, np.ndarray]  # slots of the strings as they are
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # slots of runs with their neighbours, as they are and undone in turn
+    around: tuple[np.ndarray, np.ndarray]  # codes and sizes of runs with their neighbours, as they are and undone in turn
     of_group: np.ndarray  # group of each option
     of_pair: np.ndarray
     place: np.ndarray  # run of each option within its string
     new: list[str]
     sure: np.ndarray
-    mark: np.ndarray  # a random number of each option, whose sums tell sets of options apart
+    mark: np.ndarray  # a number of each option, whose sums tell sets of options apart
     string: np.ndarray  # of each group, which is a string with a chain
     chain: np.ndarray
     v_group: np.ndarray  # of each version that needs no model
@@ -292,6 +296,11 @@ class Block:
     m_version: np.ndarray  # its options
     m_option: np.ndarray
 
+    @property
+    def lost(self) -> np.ndarray:
+        """Which strings hold replacement characters."""
+        return np.array(["�" in t for t in self.texts], bool)
+
 
 def block_of(fields: list[str], texts: list[str], n: list[int]) -> Block:
     """The block of some distinct strings."""
@@ -333,8 +342,9 @@ def block_of(fields: list[str], texts: list[str], n: list[int]) -> Block:
     m_version, m_option = np.array(m_version, np.int64), np.array(m_option, np.int64)
     v_mark = np.zeros(len(v_group), np.int64)
     np.add.at(v_mark, m_version, mark[m_option])
-    ints = lambda x: np.array(x, np.int64)
-    return Block(fields, texts, np.array(n, float), np.array(["�" in t for t in texts], bool), _slots(texts), _slots(around), ints(of_group), ints(of_pair), ints(place), new, np.array(sure, bool), mark, ints(string), ints(chain), ints(v_group), v_mark, np.array(v_sure, bool), m_version, m_option)
+    ints = lambda x: np.array(x, np.int32)
+    codes, _, size = _slots(around)
+    return Block(fields, texts, np.array(n, float), (codes.astype(np.uint32), size.astype(np.int32)), ints(of_group), ints(of_pair), ints(place), new, np.array(sure, bool), mark, ints(string), ints(chain), ints(v_group), v_mark, np.array(v_sure, bool), ints(m_version), ints(m_option))
 
 
 @dataclass
@@ -364,11 +374,13 @@ class Versions:
 def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
     """The posteriors of a block. Without a model the evidence is structural: bytes that fit a chain throughout."""
     k, groups = len(b.texts), len(b.string)
-    group, sure = b.v_group, b.v_sure
+    group, sure = b.v_group.astype(np.int64), b.v_sure
+    lost = b.lost
     score = np.zeros(len(group))
     taken = np.zeros(len(b.new), bool)
     if m is not None and len(b.new):
-        each = slot_likelihood(*b.pairs, m)
+        codes = b.around[0].astype(np.int64)
+        each = slot_likelihood(codes, _pair(codes), b.around[1].astype(np.int64), m)
         gain = (each[1::2] - each[::2])[b.of_pair]
         score = np.bincount(b.m_version, gain[b.m_option], len(group))
         # of each chain the likeliest set of runs, where that is some but not all and no version yet
@@ -386,7 +398,7 @@ def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
         score = np.concatenate([score, np.bincount(b.of_group[taken], gain[taken], groups)[at]])
         sure = np.concatenate([sure, (np.bincount(b.of_group[taken & b.sure], minlength=groups) > 0)[at]])
     string = np.concatenate([np.arange(k), b.string[group]])
-    chain = np.concatenate([np.where(b.lost, LOST, IDENTITY), b.chain[group]])
+    chain = np.concatenate([np.where(lost, LOST, IDENTITY), b.chain[group]])
     sure = np.concatenate([np.zeros(k, bool), sure])
     count = np.bincount(string, minlength=k)
     if m is None:
@@ -404,7 +416,7 @@ def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
     return Versions(string, chain, sure, p, taken, len(b.v_group), np.concatenate([np.full(k, -1), group]))
 
 
-def _with_blocks(batches: Iterator[pa.RecordBatch], most_chars: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _with_blocks(batches: Iterator[pa.RecordBatch], most_chars: int = 30_000) -> Iterator[pa.RecordBatch]:
     def packed(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block_of(*map(list, zip(*rows))), 5)], pa.binary())], names=["block"])
 
@@ -450,7 +462,7 @@ def _expect(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.Reco
         code = np.array([names.get(f, 0) for f in b.fields], np.int64)
         pri += np.bincount(code[v.string] * N_CHAINS + v.chain, b.n[v.string] * v.p, len(pri))
         share = np.log1p(b.n)  # many copies of one text say little about others
-        count(b.whole, np.where(b.lost | (v.p[:k] <= 1e-3), 0.0, v.p[:k] * share))
+        count(_slots(b.texts), np.where(b.lost | (v.p[:k] <= 1e-3), 0.0, v.p[:k] * share))
         more = np.flatnonzero(v.sure & (v.p > 1e-3))
         if len(more):
             count(_slots([v.text(b, int(x)) for x in more]), v.p[more] * share[v.string[more]])
@@ -499,7 +511,8 @@ def _judge(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.Recor
     for b in _blocks(batches):
         v = versions_of(b, m, m.fields)
         k = len(b.texts)
-        hit = np.flatnonzero(b.lost | (v.p[:k] < 0.5))
+        lost = b.lost
+        hit = np.flatnonzero(lost | (v.p[:k] < 0.5))
         if not len(hit):
             continue
         # the likeliest version of each string, the first of equals
@@ -511,7 +524,7 @@ def _judge(batches: Iterator[pa.RecordBatch], sent: object) -> Iterator[pa.Recor
             x = int(best[i])
             chain = int(v.chain[x])
             name = "lost" if chain in (LOST, IDENTITY) else " ".join(map(str, CHAINS[chain]))
-            rows.append((b.fields[i], b.texts[i], v.text(b, x) if x >= k else None, name, float(v.p[x]) if b.lost[i] else float(1 - v.p[i])))
+            rows.append((b.fields[i], b.texts[i], v.text(b, x) if x >= k else None, name, float(v.p[x]) if lost[i] else float(1 - v.p[i])))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.string()] * 4 + [pa.float64()])], names=["field", "text", "restored", "chain", "posterior"])
 
 
@@ -529,7 +542,7 @@ def repair_garbled(strings: DataFrame, *, keys: list[str], most_rounds: int = 12
     named = strings.select(*keys, F.coalesce("field", F.lit("")).alias("field"), "text").where("text is not null and text <> ''")
     counted = named.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
     # few bytes, but much work each: the number of tasks is set, lest they be put together
-    parts = max(parts_for(strings), 2 * spark.sparkContext.defaultParallelism)
+    parts = max(parts_for(strings, 2 << 20), 2 * spark.sparkContext.defaultParallelism)
     blocks = materialise(counted.repartition(parts, "text").mapInArrow(_with_blocks, BLOCK), "versions")
     sent = spark.sparkContext.broadcast(learn(blocks, named.select("field"), most_rounds=most_rounds))
     garbled = blocks.mapInArrow(lambda b: _judge(b, sent), "field string, text string, restored string, chain string, posterior double")
