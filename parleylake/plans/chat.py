@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parleylake.functions import media, text, urls
 from parleylake.operators import assets, audit, conversations, identity, items, nested, paging, sampling
-from parleylake.runtime import table
+from parleylake.runtime import materialise, table
 
 #: Parameters of the queries: the own account, a page's table and the time that counts as now.
 ACCOUNT, TABLE, NOW = "1900000017", "group_288000777", 1_602_000_000
@@ -315,6 +315,16 @@ def index_match(spark: SparkSession, d: str) -> DataFrame:
     return audit.index_search(table(spark, d, "messages"), match='the "looks stale"').select("msg_table", "rowid", "msg_time", "text")
 
 
+@query(f"select msg_table, rowid, ingested_at from messages where {_WORDS.format('the')} and {_WORDS.format('looks stale')}")
+def index_words(spark: SparkSession, d: str) -> DataFrame:
+    """The same search from an inverted index, which is stored sorted by word so that a lookup skips the rest."""
+    key = ["msg_table", "rowid", "ingested_at", "copy"]
+    # a row that is there twice counts twice
+    numbered = table(spark, d, "messages").withColumn("copy", F.monotonically_increasing_id())
+    stored = materialise(audit.word_index(materialise(numbered, "numbered"), key).repartitionByRange("word").sortWithinPartitions("word"), "words")
+    return audit.index_lookup(stored, key, 'the "looks stale"').drop("copy")
+
+
 @query(f"""select 'account' as search, msg_table, rowid, msg_time from messages where {_SENDER} = '2000000005' union all select 'account_like', msg_table, rowid, msg_time from messages where {_SENDER} = '2000000005' and text ilike '%the%'
  union all select 'like', msg_table, rowid, msg_time from messages where text ilike '%the%' union all select 'match', msg_table, rowid, msg_time from messages where {_WORDS.format('backup')}""")
 def index_union(spark: SparkSession, d: str) -> DataFrame:
@@ -369,6 +379,22 @@ def text_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").where(F.col("text").rlike(r"(?i)(mailto|tel|https?|data):")).select("msg_table", "rowid", "ingested_at", F.regexp_extract("text", pattern, 1).alias("link"))
 
 
+_LINK = r"(?i)<?((?:mailto|tel|https?|data):[^\s<>，。]*)"
+
+
+@query(rf"select msg_table, rowid, ingested_at, unnest(regexp_extract_all(text, '{_LINK}', 1)) as link from messages")
+def all_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every link of every message."""
+    return table(spark, d, "messages").select("msg_table", "rowid", "ingested_at", F.explode(F.regexp_extract_all("text", F.lit(_LINK), F.lit(1))).alias("link"))
+
+
+@query("select record_id, pos - 1 as pos, regexp_replace(lower(hex(encode(t))), '(..)', '\\1 ', 'g') as hex from (select record_id, unnest(decoded_texts) as t, generate_subscripts(decoded_texts, 1) as pos from td_records)")
+def all_spaced_hex(spark: SparkSession, d: str) -> DataFrame:
+    """Every decoded string of every record as hex."""
+    t = table(spark, d, "td_records").select("record_id", F.posexplode("decoded_texts").alias("pos", "t"))
+    return t.select("record_id", "pos", F.concat(text.spaced_hex(F.encode("t", "UTF-8")), F.when(F.length("t") > 0, " ").otherwise("")).alias("hex"))
+
+
 @query("select msg_table, rowid, ingested_at, strftime(make_timestamp(msg_time * 1000000), '%Y-%m-%d %H:%M:%S') as shown from messages where msg_time between 0 and 253402300799")
 def message_times(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").where("msg_time between 0 and 253402300799").select("msg_table", "rowid", "ingested_at", text.iso_time(F.col("msg_time")).alias("shown"))

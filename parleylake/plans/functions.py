@@ -97,6 +97,27 @@ def html_link_report(spark: SparkSession, d: str) -> DataFrame:
     return assets.link_report(links.select("link", "kind", path_key(F.col("path")).alias("path_key")), there)
 
 
+_THUMBS = lambda stem, ending: ", ".join(f"{stem} || '{t}.{e}'" for e in [ending, *[x for x in media.THUMBNAIL_ENDINGS if x != ending]] for t in ("_tmb", "fix"))
+_LIES = {
+    "'UserDataImage:Group/x\\ab' || asset_id || '.png'": [x for base in ("'acc/Image/Group/x/ab' || asset_id", "'acc/Image/Group/thumbnail/x/ab' || asset_id", "'acc/Image/Group2/ab/' || substring('ab' || asset_id || '.png', 3, 2) || '/ab' || asset_id") for x in (f"{base} || '.png'", _THUMBS(base, "png"))] + ["'extracted/Thumbnails.db/PicFile/ab' || asset_id", "'extracted/Thumbnails.db/PicFile/ab' || asset_id || '.png'"],
+    "'UserDataCustomFace:' || asset_id || '.gif'": [x for base in ("'acc/CustomFace/' || asset_id", "'extracted/CustomFace.db/' || asset_id") for x in (f"{base} || '.gif'", _THUMBS(base, "gif"))] + ["'extracted/Thumbnails.db/PicFile/' || asset_id", "'extracted/Thumbnails.db/PicFile/' || asset_id || '.gif'"],
+    "'FaceStore:a\\' || asset_id || '.fixed'": ["'extracted/FaceStore.db/a/' || asset_id || '.fixed'", "'extracted/FaceStore.db/a/' || asset_id || '_tmb.fixed'", "'extracted/FaceStore.db/a/' || asset_id || 'fix.fixed'", "'extracted/FaceStore.db/' || asset_id"],
+    "'SysFaceResFileSystem:' || asset_id || '.dat'": [f"'extracted{now}/SysFaceResFileSystem/' || asset_id || '{t}.dat'" for now in ("", "-current") for t in ("", "_tmb", "fix")],
+    "'UserDataRoot:..\\a\\.\\' || asset_id": ["'acc/a/' || asset_id"],
+    "'UserDataFileRecv:' || asset_id || '.pdf'": ["'acc/FileRecv/' || asset_id || '.pdf'", "'acc/' || asset_id || '.pdf'"],
+    "'a/' || asset_id || '.mp3'": ["'acc/a/' || asset_id || '.mp3'", "'acc/FileRecv/a/' || asset_id || '.mp3'"],
+    "asset_id || '.docx'": [f"'acc/{f}' || asset_id || '.docx'" for f in ("FileRecv/", "", "Audio/", "Video/", "GroupFile/")],
+}
+
+
+@query("with a as (select distinct asset_id from asset_files) " + " union all ".join(f"select {ref} as reference, unnest([{', '.join(paths)}]) as path, unnest(range(len([{', '.join(paths)}]))) as pos from a" for ref, paths in _LIES.items()))
+def asset_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Where references of every scheme may lie, made of the numbers of the listed files."""
+    a = table(spark, d, "asset_files").select("asset_id").distinct()
+    refs = a.select(F.explode(F.array(*[F.expr(x.replace("\\", "\\\\")) for x in _LIES])).alias("reference"))
+    return refs.select("reference", F.posexplode(media.asset_candidates(F.col("reference"), "acc")).alias("pos", "path"))
+
+
 _CONTENTS = "c as (select distinct text, 'UserData/Image/' || coalesce(length(text), 0) || '/' || md5(text) || '.dat' as path from messages where text is not null)"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from parleylake.runtime import names_in
+
 IDENTITY = ["kind", "account", "source", "path", "key"]
 
 
@@ -38,15 +40,21 @@ def counters(events: DataFrame, imported: DataFrame) -> DataFrame:
     return events.agg(F.count(F.lit(1)).alias("events")).join(F.broadcast(imported.agg(F.count(F.lit(1)).alias("imported")))).withColumn("ignored", F.col("events") - F.col("imported"))
 
 
-def follow(spark: SparkSession, source: str, target: str, checkpoint: str, *, delay: str = "1 day") -> StreamingQuery:
+def follow(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Normalise the lines of files as they appear, and append each event once to a parquet table.
 
-    Identities are remembered for ``delay`` of arrival time, so the state is bounded; all present files are read, then the
-    query ends, to be started again with the same checkpoint folder.
+    Each micro-batch is compared with the identities that the target holds, however old they are, so nothing has to be
+    remembered between batches, and a batch that is run again after a failure adds nothing twice. All present files are
+    read, then the query ends, to be started again with the same checkpoint folder.
     """
-    lines = spark.readStream.format("text").load(source).withColumn("arrived", F.current_timestamp())
-    events = normalised(lines).withWatermark("arrived", delay).dropDuplicatesWithinWatermark(IDENTITY)
-    return events.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def append(batch: DataFrame, _: int) -> None:
+        has = names_in(spark, target)
+        store = batch.sparkSession.read.parquet(target) if has else batch
+        new_events(batch, store if has else batch.limit(0)).write.mode("append").parquet(target)
+
+    lines = spark.readStream.format("text").load(source)
+    return normalised(lines).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, *, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
