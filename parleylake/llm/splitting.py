@@ -47,7 +47,8 @@ def cut_points(raw: bytes, ends: np.ndarray, limit: int, overlap: int, size_of:
 
     A piece ends at the last boundary under the limit, of the strongest kind that leaves it at least half full, else of
     any kind that lets it advance past the overlap, else at the limit itself, between two characters. The next piece
-    starts ``overlap`` tokens before, or up to three more where that would split a character.
+    starts ``overlap`` tokens before, or up to three more where that would split a character; a piece that is no longer
+    than the overlap, which only happens if its tokens grow once it stands alone, is followed without one.
     """
     n, bounds = len(ends), boundary_tokens(raw, ends)
     byte = lambda k: int(ends[k - 1]) if k else 0
@@ -74,7 +75,7 @@ def cut_points(raw: bytes, ends: np.ndarray, limit: int, overlap: int, size_of:
                     while end > start + 1 and not whole(end):
                         end -= 1
             size = size_of(raw[byte(start) : byte(end)])
-            if size <= limit or room <= 8:
+            if size <= limit or end <= start + 1:
                 break
             room -= max(1, size - limit)  # a piece that starts within a word may have more tokens of its own
         yield byte(start), byte(end), size
