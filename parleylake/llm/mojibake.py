@@ -156,7 +156,7 @@ for _c, (_right, _wrong, _times) in enumerate(CHAINS):
     BY_WRONG.setdefault(_wrong, []).append((_c, _right, _times))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def undone_by(run: str) -> tuple[tuple[int, str, bool], ...]:
     """(chain, restored run, sure) of every chain that can be undone in a run; many strings share their runs."""
     high = set(HIGH.findall(run))
@@ -239,11 +239,14 @@ def _pair(codes: np.ndarray) -> np.ndarray:
     return pair
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64) & (UNI - 1)
+
+
 def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, hashed pairs with the character before, and the number of characters of each text."""
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    codes = np.frombuffer("".join("\n" + t for t in texts).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    codes &= UNI - 1
+    codes = _codes("".join("\n" + t for t in texts))
     return codes, _pair(codes), size
 
 
@@ -281,21 +284,25 @@ class Block:
     fields: list[str]
     texts: list[str]
     n: np.ndarray
-    around: tuple[np.ndarray, np.ndarray]  # codes and sizes of runs with their neighbours, as they are and undone in turn
+    around: str  # runs with their neighbours, as they are and undone in turn, each behind a line break
+    size: np.ndarray  # characters of each, the line break included
     of_group: np.ndarray  # group of each option
     of_pair: np.ndarray
     place: np.ndarray  # run of each option within its string
     new: list[str]
     sure: np.ndarray
-    mark: np.ndarray  # a number of each option, whose sums tell sets of options apart
     string: np.ndarray  # of each group, which is a string with a chain
     chain: np.ndarray
     v_group: np.ndarray  # of each version that needs no model
-    v_mark: np.ndarray
     v_sure: np.ndarray
     m_version: np.ndarray  # its options
     m_option: np.ndarray
 
+    @property
+    def mark(self) -> np.ndarray:
+        """A number of each option, whose sums tell sets of options apart."""
+        return np.random.default_rng(1).integers(-(2**62), 2**62, len(self.new))
+
     @property
     def lost(self) -> np.ndarray:
         """Which strings hold replacement characters."""
@@ -338,13 +345,9 @@ def block_of(fields: list[str], texts: list[str], n: list[int]) -> Block:
                 m_option += [first + k for k in chosen]
                 v_group.append(g)
                 v_sure.append(any(sure[first + k] for k in chosen))
-    mark = np.random.default_rng(1).integers(-(2**62), 2**62, len(new))
     m_version, m_option = np.array(m_version, np.int64), np.array(m_option, np.int64)
-    v_mark = np.zeros(len(v_group), np.int64)
-    np.add.at(v_mark, m_version, mark[m_option])
     ints = lambda x: np.array(x, np.int32)
-    codes, _, size = _slots(around)
-    return Block(fields, texts, np.array(n, float), (codes.astype(np.uint32), size.astype(np.int32)), ints(of_group), ints(of_pair), ints(place), new, np.array(sure, bool), mark, ints(string), ints(chain), ints(v_group), v_mark, np.array(v_sure, bool), ints(m_version), ints(m_option))
+    return Block(fields, texts, np.array(n, float), "".join("\n" + t for t in around), ints([len(t) + 1 for t in around]), ints(of_group), ints(of_pair), ints(place), new, np.array(sure, bool), ints(string), ints(chain), ints(v_group), np.array(v_sure, bool), ints(m_version), ints(m_option))
 
 
 @dataclass
@@ -379,18 +382,19 @@ def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
     score = np.zeros(len(group))
     taken = np.zeros(len(b.new), bool)
     if m is not None and len(b.new):
-        codes = b.around[0].astype(np.int64)
-        each = slot_likelihood(codes, _pair(codes), b.around[1].astype(np.int64), m)
+        codes = _codes(b.around)
+        each = slot_likelihood(codes, _pair(codes), b.size.astype(np.int64), m)
         gain = (each[1::2] - each[::2])[b.of_pair]
         score = np.bincount(b.m_version, gain[b.m_option], len(group))
         # of each chain the likeliest set of runs, where that is some but not all and no version yet
         taken = gain > -STAYS
         some, all_ = np.bincount(b.of_group, taken, groups), np.bincount(b.of_group, minlength=groups)
         better = np.bincount(b.of_group, gain > 0, groups) > 0
-        marks = np.zeros(groups, np.int64)
-        np.add.at(marks, b.of_group[taken], b.mark[taken])
+        v_mark, mark, marks = np.zeros(len(group), np.int64), b.mark, np.zeros(groups, np.int64)
+        np.add.at(v_mark, b.m_version, mark[b.m_option])
+        np.add.at(marks, b.of_group[taken], mark[taken])
         made = (some < all_) & better
-        known = set(zip(group.tolist(), b.v_mark.tolist()))
+        known = set(zip(group.tolist(), v_mark.tolist()))
         made[[g for g in np.flatnonzero(made).tolist() if (g, int(marks[g])) in known]] = False
         at = np.flatnonzero(made)
         taken &= made[b.of_group]
@@ -416,7 +420,7 @@ def versions_of(b: Block, m: Model | None, fields: dict[str, int]) -> Versions:
     return Versions(string, chain, sure, p, taken, len(b.v_group), np.concatenate([np.full(k, -1), group]))
 
 
-def _with_blocks(batches: Iterator[pa.RecordBatch], most_chars: int = 30_000) -> Iterator[pa.RecordBatch]:
+def _with_blocks(batches: Iterator[pa.RecordBatch], most_chars: int = 15_000) -> Iterator[pa.RecordBatch]:
     def packed(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block_of(*map(list, zip(*rows))), 5)], pa.binary())], names=["block"])
 
