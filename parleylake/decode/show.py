@@ -5,21 +5,29 @@ from __future__ import annotations
 import re
 from html import escape
 
-from parleylake.decode.labels import expanded, field_names, folded, is_packet_index, unshown_label, with_suffixes
-from parleylake.decode.labels import TRANSPORT
+from parleylake.decode.labels import TRANSPORT, expanded, field_names, folded, is_packet_index, unshown_label, with_suffixes
 from parleylake.decode.message import (
-    EMPTY_OK, FILE, METADATA, Element, app_href, app_text, card_of, card_text, elements, embedded_media, file_meta, is_decoration, media_label, quote_of, summary, title_previews, xml_attribute,
+    EMPTY_OK, FILE, KIND, METADATA, Element, app_href, app_text, card_of, card_text, elements, embedded_media, file_meta, is_decoration, media_label, quote_of, summary, title_previews, xml_attribute,
 )
+from parleylake.decode.record import issue_of
 
 # Record fields that hold links, videos and pictures, and words of a file transfer's own messages.
 LINKS, VIDEOS, PICTURES = ("strLinkHttp", "strMsgLink", "strLinkUrl", "c_strMsgLinkUrl"), ("strVideoFilePath", "strVideoThumbPath"), {"strPicInfoFileName", "bufPicInfoServerPath", "bufPicResId"}
 TRANSFER_WORDS = re.compile("打开文件|打开所在文件夹|继续发送|到云端查看|撤回该文件")
+MEDIA_KINDS = ("image", "video", "voice", "file")
+RISKY = re.compile("[\ue000-\uf8fe\u1200-\u137f\u2c80-\u2cff\x00-\x08\x0b\x0c\x0e-\x1f]")
 VIDEO = re.compile(r"[\\/]video[\\/]|\.(?:mp4|webm|mov)$", re.I)
 #: Element types whose payload is never read as a message of its own.
 NO_MESSAGE = {0, 1, 0x08, 0x0C, 0x0E, 0x12, 0x14, 0x18}
 PLACE = "UserDataFileRecv:"
 
 
+def kind_of(refs: list[str]) -> str | None:
+    """The kind of media that references show in an audit, where videos come before voices."""
+    order = sorted(KIND, key=lambda k: ("video", "voice", "image", "file").index(k[0]))
+    return next((k for k, p in order if any(re.search(p, r, re.I) for r in refs)), None)
+
+
 def links(e: Element) -> list[str]:
     return list(dict.fromkeys(t for n in LINKS for t in e.named(n)[1]))
 
@@ -238,3 +246,31 @@ def status(es: list[Element]) -> list[str]:
         else:
             out.append("rendered" if inside(e) or videos(e) or (e.type in _NODES and _NODES[e.type](e, summary(e))) else "unclassified")
     return out
+
+
+def all_nodes(nodes: list[dict]) -> list[dict]:
+    return [x for n in nodes for x in (n, *all_nodes(n.get("children", [])), *all_nodes(n.get("items", [])))]
+
+
+def issues(data: bytes) -> list[str]:
+    """What is wrong with what a message shows, each issue once.
+
+    empty_text_and_nodes, blank_text, suspicious_text, unrendered_media (a reference in no node), rich_empty_href,
+    missing_candidates and type_mismatch (media nodes without references, or with those of another kind), and
+    partial_txdata and txdata_trailer for records inside.
+    """
+    es = elements(data)
+    text, nodes = plain_of(es), nodes_of(es)
+    flat = all_nodes(nodes)
+    shown = "\n".join(str(v) for n in flat for v in (n.get("text"), n.get("href"), n.get("xml"), *(n.get("candidates") or [])))
+    refs = [r for i, e in enumerate(es) if i not in folded(es) and not is_decoration(e) for r in e.media()]
+    lost, risky = text.count("\ufffd"), len(RISKY.findall(text))
+    found = {
+        "empty_text_and_nodes": not text and not nodes, "blank_text": bool(nodes) and not text.strip(),
+        "suspicious_text": lost > 0 or (risky >= 2 and risky * 100 // len(text) > 12), "unrendered_media": any(r not in shown for r in refs),
+        "rich_empty_href": any(n["type"] == "rich" and not n.get("href") for n in flat),
+        "missing_candidates": any(n["type"] in MEDIA_KINDS and not n.get("candidates") for n in flat),
+        "type_mismatch": any(n["type"] in MEDIA_KINDS and n.get("candidates") and kind_of(n["candidates"]) not in (None, n["type"]) for n in flat),
+    }
+    wrong = {issue_of(r.record) for e in es for r in e.records if r.record and r.tag == "TD"} - {None}
+    return [k for k, v in found.items() if v] + sorted(wrong)

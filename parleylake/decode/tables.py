@@ -106,6 +106,16 @@ def record_issues(lists: DataFrame, keys: list[str]) -> DataFrame:
     return lists.select(*keys, issue.alias("issue")).where("issue is not null").groupBy(*keys, "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shown_issues(df: DataFrame, keys: list[str], data: str) -> DataFrame:
+    """One row per issue of what a message shows (see ``show.issues``): issue."""
+
+    def one(raw: bytes) -> Iterator[tuple]:
+        for i in show.issues(raw):
+            yield (i,)
+
+    return flat_map(df, keys, data, "issue string", one)
+
+
 def titles(df: DataFrame, keys: list[str], data: str) -> DataFrame:
     """The first lines that forwarded chats preview: pos, title."""
 

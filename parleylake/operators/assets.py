@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parleylake.functions.names import path_key
@@ -41,8 +41,8 @@ def basename_summary(refs: DataFrame, files: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).join(F.broadcast(c))
 
 
-def rule_hits(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """Per naming rule how many references it explains first, with the least reference as example.
+def rule_hits(refs: DataFrame, files: DataFrame, *, most_examples: int = 10) -> DataFrame:
+    """Per naming rule how many references it explains first, with its first ten references as examples.
 
     The rules are tried in order: the exact name, its thumbnail, both in lower case. File names compare without regard
     to case, so the last two only come into play for names that are not ASCII.
@@ -52,7 +52,11 @@ def rule_hits(refs: DataFrame, files: DataFrame) -> DataFrame:
     tried = refs.select("reference").distinct().where(n != "").select("reference", F.explode(rules).alias("r")).select("reference", "r.i", "r.rule", F.lower("r.name").alias("name_key"))
     names = listed(files).groupBy("name_key").agg(F.min("path").alias("path"))
     first = tried.join(names, "name_key").groupBy("reference").agg(F.min(F.struct("i", "rule", "path")).alias("s"))
-    return first.groupBy(F.col("s.rule").alias("rule")).agg(F.count(F.lit(1)).alias("references"), F.min("reference").alias("example"))
+    hit = first.select(F.col("s.rule").alias("rule"), "reference")
+    # limited within each task before anything is shuffled
+    few = hit.withColumn("k", F.row_number().over(Window.partitionBy("rule").orderBy("reference"))).where(F.col("k") <= most_examples)
+    shown = few.groupBy("rule").agg(F.array_sort(F.collect_list("reference")).alias("examples"))
+    return hit.groupBy("rule").agg(F.count(F.lit(1)).alias("references")).join(shown, "rule")
 
 
 def digest_hits(refs: DataFrame, files: DataFrame) -> DataFrame:

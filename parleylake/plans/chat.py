@@ -215,9 +215,9 @@ def basename_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_ASSET}, t as (select reference, 0 as i, 'basename_exact' as rule, lower(n) as k from n union all select reference, 1, 'basename_tmb', lower({_TMB.format('n')}) from n),
- f as (select reference, min(i) as i from t where k in (select name_key from l) group by 1) select t.rule, count(*) as references, min(t.reference) as example from f join t on t.reference = f.reference and t.i = f.i group by 1""")
+ f as (select reference, min(i) as i from t where k in (select name_key from l) group by 1) select t.rule, count(*) as references, array_to_string(list(t.reference order by t.reference)[1:10], '|') as examples from f join t on t.reference = f.reference and t.i = f.i group by 1""")
 def candidate_rules(spark: SparkSession, d: str) -> DataFrame:
-    return assets.rule_hits(_refs(spark, d), table(spark, d, "asset_files"))
+    return assets.rule_hits(_refs(spark, d), table(spark, d, "asset_files")).withColumn("examples", F.array_join("examples", "|"))
 
 
 @query(f"""with {_ASSET} select lower(regexp_replace(name_key, '\\.[^.]*$', '')) as stem, path from l where lower(regexp_replace(name_key, '\\.[^.]*$', '')) in (select lower(regexp_replace(n, '\\.[^.]*$', '')) from n where regexp_matches(lower(regexp_replace(n, '\\.[^.]*$', '')), '^([0-9a-f]{{16}}|[0-9a-f]{{32}})$'))""")

@@ -175,6 +175,32 @@ def decoded_issues(spark: SparkSession, d: str) -> DataFrame:
     return tables.record_issues(tables.field_lists(_encoded(_rows(spark, d), build, "rowid", "nick"), KEYS, "content"), KEYS)
 
 
+_CASES = ["fine", "empty_text_and_nodes", "blank_text", "suspicious_text", "rich_empty_href", "type_mismatch", "unrendered_media"]
+
+
+def _flawed(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of which one in seven is fine and the others have one flaw each."""
+
+    def build(rowid: int) -> bytes:
+        bodies = [
+            p.text_elements("fine"), p.element(0x0E), p.text_elements(" "), p.text_elements("a\ue001\ue002b"), p.element(0x14, (1, p.wide("<msg brief='b'></msg>"))),
+            p.element(3, (2, p.wide("UserDataImage:a\\b.amr")), (2, p.wide("UserDataImage:a\\c.avi"))), p.element(8, (2, p.wide("UserDataImage:a.png"))) + p.text_elements("t"),
+        ]
+        return p.header(1, 2) + bodies[rowid % 7]
+
+    return tables.shown_issues(_encoded(_rows(spark, d).where("rowid >= 0"), build, "rowid"), KEYS, "content")
+
+
+@query(f"with {_R} select msg_table, rowid, ({_CASES})[cast(rowid % 7 as int) + 1] as issue from r where rowid >= 0 and rowid % 7 <> 0")
+def shown_issues(spark: SparkSession, d: str) -> DataFrame:
+    return _flawed(spark, d).drop("error")
+
+
+@query(f"with {_R} select ({_CASES})[cast(rowid % 7 as int) + 1] as counter, count(*) as value from r where rowid >= 0 and rowid % 7 <> 0 group by 1")
+def shown_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _flawed(spark, d).groupBy(F.col("issue").alias("counter")).agg(F.count(F.lit(1)).alias("value"))
+
+
 @query(f"with {_R} select msg_table, rowid, 'entry' || rowid as entry_key, unnest([0, 1]) as field_index, unnest([8, 1]) as header, unnest(['strNick', 'dwUin']) as field_name, unnest([null, rowid % 4294967296]) as uint_value, unnest([case when regexp_matches(nick, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffd}}]') then '' else 'N:' || nick end, '']) as texts from r")
 def decoded_streams(spark: SparkSession, d: str) -> DataFrame:
     """A plain key/value stream of each message, of whose two entries only one is wanted."""
