@@ -547,7 +547,8 @@ def repair_garbled(strings: DataFrame, *, keys: list[str], most_rounds: int = 12
     counted = named.groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
     # few bytes, but much work each: the number of tasks is set, lest they be put together
     parts = max(parts_for(strings, 2 << 20), 2 * spark.sparkContext.defaultParallelism)
-    blocks = materialise(counted.repartition(parts, "text").mapInArrow(_with_blocks, BLOCK), "versions")
+    # neighbours in order share their runs, which are undone once while they are remembered
+    blocks = materialise(counted.repartition(parts, "text").sortWithinPartitions("text").mapInArrow(_with_blocks, BLOCK), "versions")
     sent = spark.sparkContext.broadcast(learn(blocks, named.select("field"), most_rounds=most_rounds))
     garbled = blocks.mapInArrow(lambda b: _judge(b, sent), "field string, text string, restored string, chain string, posterior double")
     return named.join(garbled, ["field", "text"]).select(*keys, "text", "restored", "chain", "posterior")
