@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,7 +155,7 @@ def _local(spark: SparkSession, name: str) -> str:
     """A new local path in the shared folder, for stores that only open local files."""
     if not shared_dir(spark).startswith(("file:", "/")):
         raise ValueError("this needs a shared folder that is mounted as a local path")
-    return new_path(spark, name).removeprefix("file://")
+    return re.sub(r"^file:/*", "/", new_path(spark, name))
 
 
 def _database(spark: SparkSession, d: str) -> str:
