@@ -38,7 +38,7 @@ GIVEN = set(
     "伟芳娜秀敏静丽强磊军洋勇艳杰娟涛超兰霞平刚桂英华玉萍红娥玲芬梅燕彬凤洁琳云莲雪荣妹香月瑞佳嘉琼珍莉璐娅琦晶妍倩婷婉颖露瑶怡雁蓉眉君琴薇菁梦岚韵艺咏聪澜纯悦昭冰琬羽希宁欣筠竹凝晓欢枫芸菲亚宜舒影荔枝思"
     "国建志文子浩宇轩博涵辰梓晨俊鹏辉飞龙斌波健森峰海江天福生东新民永世昌宏豪坤鑫旭阳光明义仁良庆振海雄斯立刘翔星初长远安若清林立雅诗静慧智奇岩松柏泽润瑜然毅远恒景语桐秋亦尧墨澈儿书沐奕宸彤凌"
 )
-PLAIN = set("的了是在不我你他她它们这那有没也都就还要会能很太吗吧呢啊把被给让对从去上下里外前后多少几个只件份张次年日号点分元什么怎哪谁其此且但而或因为所以如果可与和跟同向到来说看问做用打发送收买卖吃喝走跑坐站开关写读再又才刚已正将每各该应必须需先后再最更非等")
+PLAIN = set("的了是在不我你他她它们这那有没也都就还要会能很太吗吧呢啊把被给让对从去上下里外前后多少几个只件份张次年日号点分元什么怎哪谁其此且但而或因为所以如果可与和跟同向到来说看问做用打发送收买卖吃喝走跑坐站开关写读再又才刚已正将每各该应必须需先后再最更非等今昨")
 SURE_SURNAME = set("王李张刘陈杨赵吴徐孙朱胡郭何林罗郑梁谢宋唐许韩冯邓曹彭曾肖董袁潘蒋蔡余杜苏魏吕丁沈姚卢姜崔钟谭陆汪廖贾韦邹孟熊秦邱尹薛闫侯陶贺顾郝龚邵覃欧")
 HEAD = re.compile(rf"{COMPOUND}|[{SURNAMES}]")
 # What stands before a name: labels, and verbs, relations and prepositions that take a person.
@@ -56,6 +56,7 @@ PERSON_DOES = re.compile(
 PERSONAL = re.compile(r"的(?:邮箱|邮件|电话|手机|号码|地址|身份证|生日|工资|家人|妻子|丈夫|孩子)|(?:今天|明天|昨天|下午|上午|刚刚?|已经)?(?:请假|迟到|出差|值班|辞职|生病|住院|结婚|离职|去世|出生)|[ 　]?收(?=[\s，,。]|$)|[ 　]?[(（]?\0")
 NO_GIVEN = re.compile(rf"(?:{TITLES}|尴尬|咖啡|蝴蝶|葡萄|玻璃|垃圾|琵琶|蜘蛛|蚂蚁|喇叭|喷嚏|拖鞋|橘子|柠檬|玫瑰|馄饨|饺子)")
 TIME = re.compile("[今明昨后]天|[今明昨][早晚年]|[上下]周|[早晚]上")
+CUT_OFF = re.compile("[今明昨的请]?(?:…|[.]{3})")  # what went on after the name was cut off
 #: Weights of the evidence for a Chinese name, and what they must add up to.
 NAME_THRESHOLD = 3.0
 
@@ -102,7 +103,7 @@ def han_names(t: str) -> Iterator[tuple[int, int]]:
                     continue
                 after = t[j + g + k : j + g + k + 4]
                 if after[:1] and "一" <= after[0] <= "鿿":
-                    right = 1.0 if PERSON_DOES.match(after) else -1.0
+                    right = 1.0 if PERSON_DOES.match(after) or CUT_OFF.match(after) else -1.0
                 else:
                     right = 1.0 if not after[:1] or not (after[0].isalpha() or after[0] == "_") else 0.0
                     if after[:1] in (" ", "　") and len(after) > 1 and "一" <= after[1] <= "鿿" and left < 1.5:
