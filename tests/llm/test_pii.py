@@ -105,7 +105,7 @@ def test_numbers_never_collide():
 
 
 def test_held_out_sentences():
-    """Sentences that no rule was made from: recall of each kind and precision of all."""
+    """Sentences written apart from the test tables: recall of each kind and precision of all. They guided the weights of names, so they are no unseen set."""
     held, wanted, right, made = {}, {}, 0, 0
     for text, labels in [*HELD_OUT, *[(t, []) for t in CLEAN]]:
         got = kinds(text)
